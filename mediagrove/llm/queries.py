@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, quality, telephony, token_counts
+from . import decontaminate, language_id, language_model, quality, telephony, token_counts, word_table
 from .base import fold, table
 
 
@@ -13,6 +13,15 @@ def op1_token_counts(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "n_chunked")
 
 
+def op2_lm_scoring(spark, sf_dir):
+    out = language_model.score(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_word_table_bpe(spark, sf_dir):
+    return word_table.encode_decode(table(spark, sf_dir, "documents"), full=False)
+
+
 def op4_telephony_audio(spark, sf_dir):
     return telephony.store_audio(table(spark, sf_dir, "documents"), keep_media=False)
 
@@ -34,5 +43,5 @@ def op8_quality_classifier(spark, sf_dir):
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_telephony_audio, op6_decontaminate, op7_language_id, op8_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_word_table_bpe, op4_telephony_audio, op6_decontaminate, op7_language_id, op8_quality_classifier)}
 SQL: dict[str, str] = {}
