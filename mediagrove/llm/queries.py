@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, language_model, quality, telephony, token_counts, word_table
+from . import decontaminate, language_id, language_model, near_dedup, quality, telephony, token_counts, word_table
 from .base import fold, table
 
 
@@ -43,5 +43,9 @@ def op8_quality_classifier(spark, sf_dir):
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_word_table_bpe, op4_telephony_audio, op6_decontaminate, op7_language_id, op8_quality_classifier)}
+def op9_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_word_table_bpe, op4_telephony_audio, op6_decontaminate, op7_language_id, op8_quality_classifier, op9_minhash_near_dedup)}
 SQL: dict[str, str] = {}
