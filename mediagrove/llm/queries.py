@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, language_model, near_dedup, quality, telephony, token_counts, word_table
+from . import decontaminate, language_id, language_model, near_dedup, quality, substring_dedup, telephony, token_counts, word_table
 from .base import fold, table
 
 
@@ -47,5 +47,9 @@ def op9_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_word_table_bpe, op4_telephony_audio, op6_decontaminate, op7_language_id, op8_quality_classifier, op9_minhash_near_dedup)}
+def op10_suffix_array_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), full=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_word_table_bpe, op4_telephony_audio, op6_decontaminate, op7_language_id, op8_quality_classifier, op9_minhash_near_dedup, op10_suffix_array_dedup)}
 SQL: dict[str, str] = {}
