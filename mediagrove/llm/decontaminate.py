@@ -148,3 +148,33 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id"
         if part < parts - 1:
             rows = rows.mapInArrow(step(patterns, False), f"id {kind}, text string, {state}")
     return rows.mapInArrow(step(patterns, True), f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<array<long>>").withColumnRenamed("id", id_col)
+
+
+def keep_clean(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+               window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
+    """The rows that aren't contaminated, with all their columns as they were, without a shuffle if one automaton holds the benchmark."""
+    items = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("i"), F.coalesce(benchmark[item_text_col].cast("string"), F.lit("")).alias("t")).distinct()
+    if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > limit:
+        found = decontaminate(df, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, window=window, limit=limit)
+        bad = found.where("contaminated").select(found[id_col].alias("__bad")).distinct()
+        return df.join(bad, df[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    patterns = sorted((r.i, r.t) for r in items.collect())
+    key = hashlib.sha256(repr((patterns, window)).encode()).hexdigest()
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        machine = _automaton(key, patterns, window)
+        for batch in batches:
+            data, ends = flat(batch.column(at).cast(pa.string()))
+            keep = np.ones(batch.num_rows, bool)
+            for a, b in slices(ends, SLICE_BYTES):
+                words, found = scan(machine, data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+                hit = np.zeros(len(words.start) + 1, np.int64)
+                for k, length, _ in found:
+                    hit[k - length + 1] += 1
+                    hit[k + 1] -= 1
+                n_hit = np.bincount(words.doc, np.cumsum(hit[:-1]) > 0, b - a)
+                keep[a:b] = ~((n_hit > 0) & (20 * n_hit >= words.count))
+            yield batch.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)

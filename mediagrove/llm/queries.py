@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, language_model, near_dedup, quality, substring_dedup, telephony, token_counts, word_table
+from . import decontaminate, language_id, language_model, line_dedup, near_dedup, quality, substring_dedup, telephony, token_counts, word_table
 from .base import fold, table
 
 
@@ -26,6 +26,12 @@ def op4_telephony_audio(spark, sf_dir):
     return telephony.store_audio(table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op5_line_dedup(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    out = line_dedup.drop_boilerplate(pages, line_dedup.host_of(F.col("url")), line_dedup.page_text(F.col("html")))
+    return out.select("page_id", "host", "n_lines", "n_dropped", "text")
+
+
 def op6_decontaminate(spark, sf_dir):
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -51,5 +57,5 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), full=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_word_table_bpe, op4_telephony_audio, op6_decontaminate, op7_language_id, op8_quality_classifier, op9_minhash_near_dedup, op10_suffix_array_dedup)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_word_table_bpe, op4_telephony_audio, op5_line_dedup, op6_decontaminate, op7_language_id, op8_quality_classifier, op9_minhash_near_dedup, op10_suffix_array_dedup)}
+SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
