@@ -48,7 +48,7 @@ class Trees:
         self.rows = np.zeros(1, np.int32)
         tables, offset = [rows], 1
         for k in range(1, order + 1):
-            grams = np.unique(np.concatenate([own[k][0] // size for own in count]))
+            grams = np.unique(np.concatenate([np.zeros(0, np.int64), *(own[k][0] // size for own in count)]))
             place = np.full(size**k, -1, np.int32)
             place[grams] = np.arange(len(grams))
             parent = self.rows[grams % size ** (k - 1)]
