@@ -335,6 +335,13 @@ def _rows(kind: str, path: str, data: bytes) -> Iterator[tuple]:
             yield from ((path, k, p, "ok") for k, p in enumerate(library_folders(data)))
         elif kind == "gamelist":
             yield from ((path, k, f"{stem}\t{name}", "ok") for k, (stem, name) in enumerate(gamelist(data)))
+        elif kind == "library":
+            from .paged import read_library
+
+            status, games, skipped = read_library(data)
+            yield from ((path, k, f"{g['guid']}\t{g['name']}", "ok") for k, g in enumerate(games))
+            if skipped or status != "ok":
+                yield path, skipped, "", "skipped" if skipped else status
         elif kind == "bson":
             game = library_game(data)
             yield (path, 0, f"{game['guid']}\t{game['name']}", "ok") if game else (path, 1, "", "skipped")
@@ -348,7 +355,7 @@ class _Parse:
 
 
 def parse(files: DataFrame, kind: str) -> DataFrame:
-    """(path, number, text, status) of ``files`` (path, content): appinfo, shortcuts, manifest, folders, gamelist or bson."""
+    """(path, number, text, status) of ``files`` (path, content): appinfo, shortcuts, manifest, folders, gamelist, library or bson."""
     spark = files.sparkSession
     spark.udtf.register("parse_catalog_file", udtf(_Parse, returnType="path string, number long, text string, status string"))
     return spark.sql("SELECT t.* FROM {files} f, LATERAL parse_catalog_file({kind}, f.path, f.content) t", files=files, kind=kind)

@@ -5,7 +5,7 @@ import uuid
 import pytest
 
 from mediagrove.functions import udf
-from mediagrove.sources import files, formats
+from mediagrove.sources import files, formats, paged
 from mediagrove.streaming import scan
 
 PNG = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 6, 9) + b"\x08\x02\0\0\0"
@@ -86,6 +86,44 @@ def test_bson():
     assert formats.library_game(b"\x05\0\0\0") is None
 
 
+def page(number, kind, body, count, after=0xFFFFFFFF):
+    raw = struct.pack("<IBIIHH", number, kind, 0xFFFFFFFF, after, count, 0) + b"\0" * 8 + body
+    return raw + b"\0" * (4096 - len(raw))
+
+
+def library(documents, **change):
+    """A file of a header, a collection, an index and a data page, and an overflow page for the first document."""
+    ids = [uuid.UUID(int=k + 1) for k in range(len(documents))]
+    node = lambda slot, key, data, after: struct.pack("<HBB12xHB", slot, 1, 0, len(key), 11 if key else 0) + key + struct.pack("<IH", *data) + struct.pack("<IH", 0, 0) + struct.pack("<IH", *after)
+    n = len(documents)
+    order = [(2, k + 1) for k in range(n)] + [(2, n + 1)]
+    index = node(0, b"", (0, 0), order[0]) + b"".join(node(k + 1, ids[k].bytes_le, (3, k), order[k + 1]) for k in range(n)) + node(n + 1, b"", (0, 0), (0, 0))
+    text = lambda v: struct.pack("<i", len(v)) + v
+    slots = text(b"_id=$._id") + b"\1" + struct.pack("<IHIHI", 2, 0, 2, n + 1, 0) + (text(b"") + b"\0" * 17) * 15
+    head = bytearray(4096)
+    head[4], head[52], head[101] = 1, 7, 1
+    head[25:52] = b"** This is a LiteDB file **"
+    head[59:63] = struct.pack("<I", 4)
+    head[102:115] = text(b"Games") + struct.pack("<I", 1)
+    for at, value in change.items():
+        head[int(at[1:])] = value
+    data = struct.pack("<HIH", 0, 4, 0) + b"".join(struct.pack("<HIH", k, 0xFFFFFFFF, len(d)) + d for k, d in enumerate(documents) if k)
+    return bytes(head) + page(1, 2, text(b"Games") + b"\0" * 12 + slots, 0) + page(2, 3, index, n + 2) + page(3, 4, data, n) + page(4, 5, documents[0], len(documents[0]))
+
+
+def test_library():
+    text = lambda k, v: b"\x02" + k + b"\0" + struct.pack("<i", len(v) + 1) + v + b"\0"
+    game = lambda k, name: document([b"\x05_id\0" + struct.pack("<iB", 16, 3) + uuid.UUID(int=k).bytes_le, text(b"Name", name)])
+    docs = [game(1, b"beta"), game(2, b"Alpha"), b"\x05\0\0\0\1"]
+    status, games, skipped = paged.read_library(library(docs))
+    assert (status, [g["name"] for g in games], skipped) == ("ok", ["Alpha", "beta"], 1)
+    assert paged.read_library(library([game(9, b"x")]))[0] == "corrupt"
+    for change, want in (({"b52": 8}, "unsupported"), ({"b70": 1}, "encrypted"), ({"b4095": 1}, "recovering")):
+        assert paged.read_library(library(docs, **change)) == (want, [], 0)
+    assert paged.read_library(library(docs) + b"x")[0] == "journal"
+    assert paged.read_library(library(docs)[:-1])[0] == "corrupt"
+
+
 def test_sniffing_and_sizes():
     assert udf.sniff(PNG) == "image/png" and udf.image_size(PNG) == (6, 9)
     assert udf.sniff(b"plain") == "text/plain; charset=utf-8" and udf.sniff(b"\0\1", "mkv") == "video/x-matroska"
