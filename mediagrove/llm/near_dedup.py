@@ -7,7 +7,8 @@
    pairs. Pairs are confirmed on full sets and merged to components. Two rounds, with new centres for buckets that still mix components.
 4. What stars can't see: a link between two nodes of a mixed bucket neither of which was its centre. The nodes outside the centre's
    component are compared with the whole bucket inside its blocks of ``BLOCK`` nodes, on 1024-bin signatures; a pair leaves a block only in the first band it shares and
-   if its estimate is 0.08 (six standard deviations) below the threshold or better. These pairs are confirmed on full sets, too. No cap: every
+   if its estimate is 0.08 (six standard deviations) below the threshold or better. Sets of up to ``SMALL`` shingles travel with their nodes, so pairs of such sets
+   are confirmed inside the block and only links leave it. All pairs that leave are confirmed on full sets. No cap: every
    pair that shares a bucket is in one component, was compared by a star, or is compared here.
 """
 
@@ -25,7 +26,7 @@ from .components import components
 from .kernel import U, flat, slices
 from .minhash import BANDS, ROWS, SHINGLE, band_keys, shingle_sets, signatures
 
-THRESHOLD, BLOCK, BINS, SLACK = 75, 1024, 1024, 0.08
+THRESHOLD, BLOCK, BINS, SLACK, SMALL = 75, 1024, 1024, 0.08, 320
 
 
 def _signed(rows: DataFrame, shingle: int) -> DataFrame:
@@ -88,13 +89,14 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _compare(group: pa.Table, least: float, kind: pa.DataType) -> pa.Table:
+def _compare(group: pa.Table, least: float, threshold: int, kind: pa.DataType) -> pa.Table:
     """Pairs of some blocks whose sketches agree in a share of ``least`` or more: those asked about against those that live there."""
     key, block, label = (group[c].to_numpy() for c in ("key", "block", "label"))
     asks, lives = (group[c].to_numpy() for c in ("asks", "lives"))
     ids = group["id"].combine_chunks()
     sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
     keys = group["keys"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    small = [np.frombuffer(x, U) if x else None for x in group["small"].to_pylist()]
     order = np.lexsort((block, key))
     edge = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (block[order][1:] != block[order][:-1]), [True]]))
     left, right = [], []
@@ -106,6 +108,8 @@ def _compare(group: pa.Table, least: float, kind: pa.DataType) -> pa.Table:
             x = living[label[living] != label[q]]
             x = x[(sketch[x] == sketch[q]).sum(1) >= least * BINS]
             x = x[~(keys[x, :band] == keys[q, :band]).any(1)]
+            if small[q] is not None:
+                x = np.array([k for k in x.tolist() if small[k] is None or similar(small[k], small[q], threshold)], np.int64)
             left.append(np.full(len(x), q))
             right.append(x)
     pick = [ids.take(pa.array(np.concatenate([np.zeros(0, np.int64), *p]).astype(np.int64))) for p in (left, right)]
@@ -161,13 +165,14 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     size = mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     at = F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))).alias("block")
     placed = mixed.join(size, "key").withColumn("home", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")).select("key", F.col("node").alias("id"), "label", "asks", "home", at)
-    known = sets.select("id", "sketch").join(real.select("id", "keys"), "id")
-    ready = placed.join(known, "id").select("key", "id", F.xxhash64("label").alias("label"), "asks", (F.col("home") == F.col("block")).alias("lives"), "block", "sketch", "keys")
+    short = F.when(F.length("shingles") <= 8 * SMALL, F.col("shingles")).alias("small")
+    known = sets.select("id", "sketch", short).join(real.select("id", "keys"), "id")
+    ready = placed.join(known, "id").select("key", "id", F.xxhash64("label").alias("label"), "asks", (F.col("home") == F.col("block")).alias("lives"), "block", "sketch", "small", "keys")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
     kept_least = threshold / 100 - SLACK
     pairs = (
         ready.groupBy(F.pmod(F.xxhash64("key", "block"), F.lit(parts)))
-        .applyInArrow(lambda group: _compare(group, kept_least, arrow), f"a {kind}, b {kind}")
+        .applyInArrow(lambda group: _compare(group, kept_least, threshold, arrow), f"a {kind}, b {kind}")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .where("a != b")
         .distinct()
