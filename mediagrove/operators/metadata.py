@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,28 +29,28 @@ def resolve_stores(stores: DataFrame) -> DataFrame:
     return clean.groupBy("identity").agg(F.min_by("store", "seq").alias("store"))
 
 
-DOUBLINGS = 4
+HOPS = 6
 
 
 def closure(aliases: DataFrame) -> DataFrame:
     """(identity, canonical) for the identities that have an alias: the end of their chain; a chain that runs in a circle leaves
     them where they are. ``aliases`` is what ``resolve_aliases`` gives.
 
-    Only the alias edges are joined with themselves, each step squares their reach: 16 links after ``DOUBLINGS`` steps (sources
-    state chains of one link). Whatever still has a link to follow after that counts as a circle.
+    Only the alias edges meet themselves, one join a link: ``HOPS`` + 1 links (sources state chains of one). Whatever
+    still has a link to follow after that counts as a circle.
     """
-    edge = aliases.where("canonical is not null").select("identity", "canonical")
+    edge = aliases.where("canonical is not null").select("identity", "canonical").persist(StorageLevel.MEMORY_AND_DISK)
+    hop = edge.select(F.col("identity").alias("canonical"), F.col("canonical").alias("next"))
     out = edge
-    for _ in range(DOUBLINGS):
-        hop = out.select(F.col("identity").alias("canonical"), F.col("canonical").alias("next"))
+    for _ in range(HOPS):
         out = out.join(hop, "canonical", "left").select("identity", F.coalesce("next", "canonical").alias("canonical"))
-    more = edge.select(F.col("identity").alias("canonical"), F.lit(True).alias("more"))
-    return out.join(more, "canonical", "left").select("identity", F.when(F.col("more"), F.col("identity")).otherwise(F.col("canonical")).alias("canonical"))
+    out = out.join(hop, "canonical", "left").select("identity", F.when(F.col("next").isNotNull(), F.col("identity")).otherwise(F.col("canonical")).alias("canonical"))
+    return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def with_titles(rows: DataFrame, column: str, aliases: DataFrame, titles: DataFrame) -> DataFrame:
-    """``rows`` with canonical (the end of ``column``'s chain) and known_title: the canonical's title, else its own, else null."""
-    ends = closure(aliases).select(F.col("identity").alias(column), F.col("canonical").alias("__end"))
+def with_titles(rows: DataFrame, column: str, ends: DataFrame, titles: DataFrame) -> DataFrame:
+    """``rows`` with canonical (the end of ``column``'s chain, by ``closure``) and known_title: the canonical's title, else its own, else null."""
+    ends = ends.select(F.col("identity").alias(column), F.col("canonical").alias("__end"))
     out = rows.join(ends, column, "left").withColumn("canonical", F.coalesce("__end", F.col(column))).drop("__end")
     own = titles.select(F.col("identity").alias(column), F.col("title").alias("__own"))
     theirs = titles.select(F.col("identity").alias("canonical"), F.col("title").alias("__theirs"))
@@ -58,7 +59,7 @@ def with_titles(rows: DataFrame, column: str, aliases: DataFrame, titles: DataFr
 
 def display_titles(identities: DataFrame, aliases: DataFrame, titles: DataFrame) -> DataFrame:
     """(identity, canonical, title) of each identity."""
-    return with_titles(identities.select("identity").distinct(), "identity", aliases, titles).select("identity", "canonical", F.col("known_title").alias("title"))
+    return with_titles(identities.select("identity").distinct(), "identity", closure(aliases), titles).select("identity", "canonical", F.col("known_title").alias("title"))
 
 
 def first_titles(entries: DataFrame) -> DataFrame:

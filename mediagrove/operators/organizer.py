@@ -60,12 +60,12 @@ def profile_index(selected: DataFrame) -> DataFrame:
     return own.groupBy("namespace", "sha256").agg(F.array_sort(F.collect_list("profile")).alias("profiles"))
 
 
-def keyed(obs: DataFrame, aliases: DataFrame, titles: DataFrame, stores: DataFrame) -> DataFrame:
+def keyed(obs: DataFrame, aliases: DataFrame, ends: DataFrame, titles: DataFrame, stores: DataFrame) -> DataFrame:
     """Observations with game, platform, title, store and attention as each would state them for a new game."""
     out = obs.join(colliding_hints(obs), "identity_hint", "left").withColumn("collides", F.coalesce("collides", F.lit(False)))
     parts = F.split("identity_hint", ":", 3)
     out = out.withColumn("original", F.when(F.col("collides") & (F.size(parts) == 3), S.disambiguated(parts[1], S.stem(F.col("path")))).otherwise(F.col("identity_hint")))
-    out = metadata.with_titles(out, "original", aliases, titles)
+    out = metadata.with_titles(out, "original", ends, titles)
     doubt = aliases.where("ambiguous").select(F.col("identity").alias("original"), F.lit(True).alias("doubtful"))
     out = out.join(doubt, "original", "left").join(stores.withColumnRenamed("identity", "original"), "original", "left")
     same = S.namespace(F.col("canonical")) == S.namespace(F.col("original"))
@@ -84,6 +84,9 @@ def keyed(obs: DataFrame, aliases: DataFrame, titles: DataFrame, stores: DataFra
 
 
 def build(obs: DataFrame, selected: DataFrame, aliases: DataFrame, titles: DataFrame, stores: DataFrame) -> Catalog:
+    keep = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)  # noqa: E731  what several branches below start from
+    selected, aliases, titles, stores = keep(selected), keep(aliases), keep(titles), keep(stores)
+    ends = metadata.closure(aliases)
     index = profile_index(selected)
     copies = Window.partitionBy("sha256")
     every = obs.withColumns({
@@ -91,11 +94,11 @@ def build(obs: DataFrame, selected: DataFrame, aliases: DataFrame, titles: DataF
         "source_name": S.source_name(F.col("root_kind")), "location": F.concat(F.col("root_id"), F.lit(":"), F.col("path")), "is_platform": is_platform_asset(),
     }).join(index, ["namespace", "sha256"], "left").withColumn("profiles", F.coalesce("profiles", F.array().cast("array<string>")))
     platform_assets = every.where("is_platform").withColumn("platform", F.concat(F.lit("retro:"), F.lower("system")))
-    assets = keyed(every.where("not is_platform"), aliases, titles, stores).withColumn("role", F.when(F.col("role") == "", F.lit("other")).otherwise(F.col("role")))
-    assets = assets.persist(StorageLevel.MEMORY_AND_DISK)  # games, identities, platforms and reports all start from it
+    assets = keyed(every.where("not is_platform"), aliases, ends, titles, stores).withColumn("role", F.when(F.col("role") == "", F.lit("other")).otherwise(F.col("role")))
+    assets = keep(assets)
 
     picked = selected.withColumns(profile_identity())
-    picked = metadata.with_titles(picked.select("profile", "game_id", "own_game", "own_platform", "own_title").distinct(), "own_game", aliases, titles)
+    picked = metadata.with_titles(picked.select("profile", "game_id", "own_game", "own_platform", "own_title").distinct(), "own_game", ends, titles)
     same = S.namespace(F.col("canonical")) == S.namespace(F.col("own_game"))
     declared = (
         picked.withColumn("game", F.when(same, F.col("canonical")).otherwise(F.col("own_game")))
@@ -112,6 +115,7 @@ def build(obs: DataFrame, selected: DataFrame, aliases: DataFrame, titles: DataF
         "game", F.coalesce("dp", "o.platform").alias("platform"), F.coalesce("dt", "o.title").alias("title"), F.coalesce("da", "o.attention").alias("attention"),
         F.coalesce("store", F.lit("")).alias("store"), F.coalesce("n", F.lit(0)).alias("assets"), F.array_except(F.array(*map(F.lit, S.EXPECTED_ROLES)), have).alias("missing_roles"),
     ).withColumns({"platform_name": S.platform_name(F.col("platform")), "fallback_frontend": fallback()[0], "fallback_roles": fallback()[1]})
+    games = keep(games)
     used = game_profiles(games, assets, selected)
     games = games.join(used, "game", "left").withColumn("profiles", F.coalesce("profiles", F.array().cast("array<string>")))
     return Catalog(games, assets, platforms(games), platform_assets)
