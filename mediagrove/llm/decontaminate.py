@@ -178,3 +178,19 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
             yield batch.filter(pa.array(keep))
 
     return df.mapInArrow(run, df.schema)
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
+#: The same for the tables ``documents`` and ``benchmark`` by DuckDB: windows as text, joined.
+SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} FROM benchmark),
+bk AS (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM bk),
+dk AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d JOIN (SELECT DISTINCT n FROM bw) ON len(w) >= n),
+m AS (SELECT doc_id, k, n, item FROM (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM dk) JOIN bw USING (n, win)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
+"""

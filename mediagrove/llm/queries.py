@@ -58,4 +58,4 @@ def op10_suffix_array_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_word_table_bpe, op4_telephony_audio, op5_line_dedup, op6_decontaminate, op7_language_id, op8_quality_classifier, op9_minhash_near_dedup, op10_suffix_array_dedup)}
-SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op6_decontaminate": decontaminate.SQL}
