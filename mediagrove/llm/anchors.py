@@ -8,30 +8,19 @@ from .kernel import U, _Powers, mix, salts
 
 LENGTH, GRAM = 50, 16
 _BYTES = salts(256, 50)
-_MOST = U(0xFFFFFFFFFFFFFFFF)
-
-
-def _runs(h: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick (minimum or maximum) over each run of ``width`` neighbours, by doubling."""
-    done, out = 1, h
-    while done < width:
-        step = min(done, width - done)
-        out = pick(out[: len(out) - step], out[step:])
-        done += step
-    return out
 
 
 class Anchors:
-    """The places of a slice's documents that hold the least gram hash of some window of ``length`` bytes of one document.
+    """Each window of ``length`` bytes of one document has one anchor: the last gram of least hash in it.
 
-    ``place``: where the gram begins; ``key``: its hash; ``doc``. ``spans``: the windows whose least gram it is, which
-    follow one another. Equal windows have equal anchors at equal distances.
+    ``place``: where the gram begins; ``key``: its hash; ``doc``; ``first`` and ``last``: where the first and the last of its windows
+    begin, which follow one another. Every window has exactly one anchor, so windows by anchor are as many as bytes at most, also
+    in periodic texts; and equal windows have equal anchors at equal distances.
     """
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
         n, width = len(data), length - gram + 1
-        empty = np.zeros(0, np.int64)
-        self.place = self.doc = empty
+        self.place = self.doc = self.first = self.last = np.zeros(0, np.int64)
         self.key = np.zeros(0, U)
         if n < length:
             return
@@ -39,27 +28,26 @@ class Anchors:
         h = np.zeros(n + 1, U)
         np.cumsum(_BYTES[data] * up[:n], out=h[1:])
         grams = mix((h[gram:] - h[:-gram]) * down[: n - gram + 1])
-        least = _runs(grams, width, np.minimum)  # by first byte of the window
-        valid = np.zeros(len(least) + 1, np.int64)
+        least, at, done = grams, np.arange(len(grams), dtype=np.int32), 1
+        while done < width:  # the least of runs of neighbours and its last place, by doubling
+            step = min(done, width - done)
+            a, b = least[: len(least) - step], least[step:]
+            at = np.where(b <= a, at[step:], at[: len(at) - step])
+            least = np.minimum(a, b)
+            done += step
         size = np.diff(ends)
         long = size >= length
-        np.add.at(valid, ends[:-1][long], 1)
-        np.add.at(valid, ends[1:][long] - length + 1, -1)
-        valid = np.cumsum(valid[:-1]) > 0
-        least = np.where(valid, least, U(0))
-        pad = np.zeros(width - 1, U)
-        around = np.concatenate([pad, least, pad])
-        most = _runs(around, width, np.maximum)  # over the windows that hold a gram
-        self.place = np.flatnonzero((most == grams) & (most > 0))
+        edge = np.zeros(len(at) + 1, np.int32)
+        np.add.at(edge, ends[:-1][long], 1)
+        np.add.at(edge, ends[1:][long] - length + 1, -1)
+        start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        if not len(start):
+            return
+        own = at[start]
+        new = np.ones(len(own), bool)
+        new[1:] = own[1:] != own[:-1]
+        run = np.flatnonzero(new)
+        self.place = own[run].astype(np.int64)
+        self.first, self.last = start[run], start[np.append(run[1:], len(start)) - 1]
         self.key = grams[self.place]
-        holds = np.lib.stride_tricks.sliding_window_view(around, width)
-        self._holds, self._width = holds, width
         self.doc = np.searchsorted(ends, self.place, "right") - 1
-
-    def spans(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First byte of the first and of the last window of the picked anchors."""
-        p = self.place[pick]
-        if not len(p):
-            return p, p
-        is_least = self._holds[p] == self.key[pick][:, None]
-        return p - (self._width - 1) + is_least.argmax(1), p - is_least[:, ::-1].argmax(1)

@@ -26,7 +26,7 @@ from .blocks import BLOCK_BYTES, bucket_of, opened, pack, rows_of, texts, unpack
 from .kernel import U, _Powers, mix, salts, slices
 from .suffix_groups import ranges, suffix_arrays
 
-HOT, LANES = 256, 1 << 19
+HOT, LANES, GATHER, BUCKETS = 256, 1 << 19, 20_000, 4
 NO_ID = np.iinfo(np.int64).max
 _ONE, _TWO = salts(256, 51), salts(256, 52)
 ANCHORS, CONTEXTS, WINDOWS = 0, 1, 2
@@ -51,9 +51,12 @@ class _Block:
         self.length = length
         self.data, self.ends = opened(row)
         self.ids = np.array([NO_ID if x is None else x for x in row["ids"]], np.int64)
-        self.parts = [(int(self.ends[a]), a, Anchors(self.data[self.ends[a] : self.ends[b]], self.ends[a : b + 1] - self.ends[a], length, gram)) for a, b in slices(self.ends, SLICE_BYTES)]
-        key = np.concatenate([np.zeros(0, U), *(x.key for _, _, x in self.parts)])
-        self.doc = np.concatenate([np.zeros(0, np.int64), *(x.doc + a for _, a, x in self.parts)])
+        parts = [(int(self.ends[a]), a, Anchors(self.data[self.ends[a] : self.ends[b]], self.ends[a : b + 1] - self.ends[a], length, gram)) for a, b in slices(self.ends, SLICE_BYTES)]
+        key = np.concatenate([np.zeros(0, U), *(x.key for _, _, x in parts)])
+        none = np.zeros(0, np.int64)
+        self.doc = np.concatenate([none, *(x.doc + a for _, a, x in parts)])
+        self.first = np.concatenate([none, *(x.first + at for at, _, x in parts)])
+        self.last = np.concatenate([none, *(x.last + at for at, _, x in parts)])
         self.keys, self.number = np.unique(key, return_inverse=True)
 
     def counts(self) -> np.ndarray:
@@ -62,14 +65,7 @@ class _Block:
 
     def spans(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte of the first and of the last window of the anchors in ``mask``."""
-        out, at = [], 0
-        for offset, _, x in self.parts:
-            pick = np.flatnonzero(mask[at : at + len(x.key)])
-            at += len(x.key)
-            for part in np.array_split(pick, max(1, len(pick) // 50_000)):
-                first, last = x.spans(part)
-                out.append((first + offset, last + offset))
-        return tuple(np.concatenate([np.zeros(0, np.int64), *own]).astype(np.int64) for own in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+        return self.first[mask], self.last[mask]
 
     def contexts(self, total: np.ndarray, hot: int):
         """Of anchors in several documents: the distinct contexts, and for hot anchors the distinct windows.
@@ -206,7 +202,7 @@ def _order(group: pa.Table, length: int) -> pa.Table:
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     least = np.minimum.reduceat(ids[order], first)
-    same = np.concatenate([text[begin[p] : begin[p] + size[p]] for p in pick.tolist()]) if len(pick) < 1000 else text[ranges(begin[pick], size[pick])]
+    same = np.concatenate([np.zeros(0, np.uint8), *(text[ranges(begin[p], size[p])] for p in np.array_split(pick, 1 + len(pick) // GATHER))])
     every = least_ids(key[pick], same, size[pick], least, length)
     n = size[pick] - length + 1
     at = np.cumsum(n) - n
@@ -219,7 +215,7 @@ def _order(group: pa.Table, length: int) -> pa.Table:
     return _answer(group, out)
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, full: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, full: bool = True, block_bytes: int = 3 * BLOCK_BYTES // 4) -> DataFrame:
     """One row an input row: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256, and with ``full`` kept (bytes) and spans.
 
     Removed: each byte of the UTF-8 text in a window of ``length`` bytes that also occurs in a row of a smaller id, overlapping or not. Windows
@@ -230,7 +226,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("gram must be between 2 and length")
     spark = df.sparkSession
     rows = rows_of(df, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a bucket is what a task holds at once
     docs = cut(texts(rows, block_bytes))
     packed = "block string, bucket int, kind int, x binary, y binary"
     names = ["block", "bucket", "kind", "x", "y"]
