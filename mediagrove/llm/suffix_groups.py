@@ -19,8 +19,8 @@ import numpy as np
 
 def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (count[0] of them), start[1], ..."""
-    total = np.cumsum(count)
-    return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - count), count)
+    total = np.cumsum(count, dtype=start.dtype)
+    return np.arange(total[-1] if len(total) else 0, dtype=start.dtype) + np.repeat(start - (total - count), count)
 
 
 def suffix_arrays(symbols: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -32,28 +32,29 @@ def suffix_arrays(symbols: np.ndarray, length: np.ndarray) -> np.ndarray:
     lanes, n = len(length), len(symbols)
     if not n:
         return np.zeros(0, np.int64)
-    end = np.cumsum(length)
-    base = end - length
-    lane = np.repeat(np.arange(lanes), length)
+    I = np.int32 if n < 1 << 30 else np.int64  # noqa: E741  half the memory traffic
+    end = np.cumsum(length).astype(I)
+    base = end - length.astype(I)
+    lane = np.repeat(np.arange(lanes, dtype=I), length)
     # layout: suffixes by lane and first symbol; groups are runs of the layout, known by their first place
-    layout = np.lexsort((symbols, lane))
-    place = np.empty(n, np.int64)
-    place[layout] = np.arange(n)
+    layout = np.lexsort((symbols, lane)).astype(I)
+    place = np.empty(n, I)
+    place[layout] = np.arange(n, dtype=I)
     edge = np.ones(n, bool)
     edge[1:] = (symbols[layout][1:] != symbols[layout][:-1]) | (lane[layout][1:] != lane[layout][:-1])
-    firsts = np.flatnonzero(edge)
-    group = np.empty(n + 1, np.int64)
+    firsts = np.flatnonzero(edge).astype(I)
+    group = np.empty(n + 1, I)
     group[layout] = np.repeat(firsts, np.diff(np.append(firsts, n)))
     group[n] = -1  # what stands before a lane
-    start_of, end_of = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    start_of, end_of = np.zeros(n + 1, I), np.zeros(n + 1, I)
     start_of[np.append(firsts[1:], n)] = firsts
     end_of[firsts] = np.append(firsts[1:], n)
-    before = np.arange(-1, n)  # the last entry is never followed
+    before = np.arange(-1, n, dtype=I)  # the last entry is never followed
     before[base] = n
-    size = np.ones(n, np.int64)
+    size = np.ones(n, I)
     moved = np.zeros(n, bool)
 
-    top, active = end.copy(), np.arange(lanes)
+    top, active = end.copy(), np.arange(lanes, dtype=I)
     while len(active):
         e = top[active]
         s = start_of[e]
@@ -109,14 +110,14 @@ def suffix_arrays(symbols: np.ndarray, length: np.ndarray) -> np.ndarray:
         top[active] = s
         active = active[s > base[active]]
 
-    after = np.arange(n) + size  # the next smaller suffix
-    child = np.argsort(after, kind="stable")
-    bound = np.searchsorted(after[child], np.arange(n + 1))
-    out = np.empty(n, np.int64)
+    after = np.arange(n, dtype=I) + size  # the next smaller suffix
+    child = np.argsort(after, kind="stable").astype(I)
+    bound = np.searchsorted(after[child], np.arange(n + 1, dtype=I)).astype(I)
+    out = np.empty(n, I)
     out[base] = end - 1
     free = group[:n].copy()  # by first place: the next free place of a group
-    free_of = np.arange(n + 1)
-    active, step = np.arange(lanes), 0
+    free_of = np.arange(n + 1, dtype=I)
+    step = 0
     by_length = np.argsort(length, kind="stable")
     sorted_length = length[by_length]
     while True:
