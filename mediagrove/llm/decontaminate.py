@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .base import SLICE_BYTES, spread
 from .kernel import ALNUM, Words, flat, slices
@@ -81,6 +82,18 @@ def scan(machine, data: np.ndarray, ends: np.ndarray):
     return words, out
 
 
+def _parts(benchmark: DataFrame, item_col: str, item_text_col: str, limit: int) -> list[list[tuple[str, str]]]:
+    """The distinct items (id, text), in as many parts as keep each at about ``limit`` bytes of text; at least one."""
+    items = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("i"), F.coalesce(benchmark[item_text_col].cast("string"), F.lit("")).alias("t")).distinct()
+    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(1, -(-total // limit))
+    out = []
+    for part in range(parts):
+        own = items.where(F.pmod(F.crc32(F.col("i").cast("binary")), F.lit(parts)) == part) if parts > 1 else items
+        out.append(sorted((r.i, r.t) for r in own.collect()))
+    return out
+
+
 def decontaminate(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
     """One row a document: ``id_col``, n_words, n_hit, n_items, items_sha256, contaminated, items (ids, sorted as strings),
@@ -91,9 +104,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id"
     no windows; repeated items count once, by id; null item ids are the string ''. Ids may be null or repeat: each row gives one row.
     Other columns aren't read. An empty benchmark hits nothing.
     """
-    items = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("i"), F.coalesce(benchmark[item_text_col].cast("string"), F.lit("")).alias("t")).distinct()
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(1, -(-total // limit))
+    parts = _parts(benchmark, item_col, item_text_col, limit)
     rows = spread(df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text")))
     kind = rows.schema["id"].dataType.simpleString()
     state = "items array<string>, hits array<int>"
@@ -142,42 +153,56 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id"
 
         return run
 
-    for part in range(parts):
-        own = items.where(F.pmod(F.crc32(F.col("i").cast("binary")), F.lit(parts)) == part) if parts > 1 else items
-        patterns = sorted((r.i, r.t) for r in own.collect())  # about ``limit`` bytes
-        if part < parts - 1:
-            rows = rows.mapInArrow(step(patterns, False), f"id {kind}, text string, {state}")
-    return rows.mapInArrow(step(patterns, True), f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<array<long>>").withColumnRenamed("id", id_col)
+    for patterns in parts[:-1]:
+        rows = rows.mapInArrow(step(patterns, False), f"id {kind}, text string, {state}")
+    return rows.mapInArrow(step(parts[-1], True), f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<array<long>>").withColumnRenamed("id", id_col)
 
 
 def keep_clean(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
-    """The rows that aren't contaminated, with all their columns as they were, without a shuffle if one automaton holds the benchmark."""
-    items = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("i"), F.coalesce(benchmark[item_text_col].cast("string"), F.lit("")).alias("t")).distinct()
-    if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > limit:
-        found = decontaminate(df, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, window=window, limit=limit)
-        bad = found.where("contaminated").select(found[id_col].alias("__bad")).distinct()
-        return df.join(bad, df[id_col].eqNullSafe(bad["__bad"]), "left_anti")
-    patterns = sorted((r.i, r.t) for r in items.collect())
-    key = hashlib.sha256(repr((patterns, window)).encode()).hexdigest()
-    at = df.columns.index(text_col)
-
-    def run(batches):
-        machine = _automaton(key, patterns, window)
-        for batch in batches:
-            data, ends = flat(batch.column(at).cast(pa.string()))
-            keep = np.ones(batch.num_rows, bool)
-            for a, b in slices(ends, SLICE_BYTES):
-                words, found = scan(machine, data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
-                hit = np.zeros(len(words.start) + 1, np.int64)
-                for k, length, _ in found:
-                    hit[k - length + 1] += 1
-                    hit[k + 1] -= 1
-                n_hit = np.bincount(words.doc, np.cumsum(hit[:-1]) > 0, b - a)
-                keep[a:b] = ~((n_hit > 0) & (20 * n_hit >= words.count))
-            yield batch.filter(pa.array(keep))
-
-    return df.mapInArrow(run, df.schema)
+    """The rows that aren't contaminated, with all their columns as they were, without a shuffle. Each row is judged by its own text
+    alone, whatever ``id_col`` holds; with several automata the words hit so far travel beside its columns."""
+    parts = _parts(benchmark, item_col, item_text_col, limit)
+    columns = df.columns
+    at, width = columns.index(text_col), len(columns)
+    hits = StructField("_".join(["hits", *columns]), ArrayType(IntegerType()))  # a name that no column has
+
+    def step(patterns: list[tuple[str, str]], first: bool, last: bool):
+        key = hashlib.sha256(repr((patterns, window)).encode()).hexdigest()
+
+        def run(batches):
+            machine = _automaton(key, patterns, window)
+            for batch in batches:
+                data, ends = flat(batch.column(at).cast(pa.string()))
+                before = [] if first else batch.column(width).to_pylist()
+                keep, hit_words = np.ones(batch.num_rows, bool), [()] * batch.num_rows
+                for a, b in slices(ends, SLICE_BYTES):
+                    words, found = scan(machine, data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+                    hit = np.zeros(len(words.start) + 1, np.int64)
+                    for k, length, _ in found:
+                        hit[k - length + 1] += 1
+                        hit[k + 1] -= 1
+                    hit = np.cumsum(hit[:-1]) > 0
+                    for k, own in enumerate(before[a:b]):
+                        hit[words.first[k] + np.array(own, np.int64)] = True
+                    n_hit = np.bincount(words.doc, hit, b - a)
+                    keep[a:b] = ~((n_hit > 0) & (20 * n_hit >= words.count))
+                    if not last:
+                        for k in np.flatnonzero(n_hit).tolist():
+                            f, m = int(words.first[k]), int(words.count[k])
+                            hit_words[a + k] = np.flatnonzero(hit[f : f + m]).tolist()
+                if last:
+                    yield batch.filter(pa.array(keep)).select(range(width))
+                else:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(hit_words, pa.list_(pa.int32()))], [*columns, hits.name])
+
+        return run
+
+    rows, schema = df, df.schema
+    for part, patterns in enumerate(parts):
+        last = part == len(parts) - 1
+        rows = rows.mapInArrow(step(patterns, part == 0, last), schema if last else StructType([*schema.fields, hits]))
+    return rows
 
 
 _WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"

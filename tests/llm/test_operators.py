@@ -211,6 +211,20 @@ def test_decontaminate(spark, docs, empty, limit):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 40])
+def test_keep_clean_judges_rows_not_ids(spark, limit):
+    one, other, long = sentence(53, 13), sentence(55, 13), sentence(54, 450)
+    items = [(1, PASSAGE), (2, sentence(50, 20)), (3, sentence(51, 20)), (4, one), (6, other)]
+    dirty = [(None, sentence(52, 40) + " " + PASSAGE, 1), (5, sentence(50, 20), 2), (5, f"{one} {long} {other}", 3)]  # in the last, no item alone has a twentieth
+    clean = [(None, sentence(56, 40), 4), (None, None, 5), (5, sentence(57, 40), 6), (5, f"{one} {long}", 7), (None, f"{long} {other}", 8)]
+    docs = spark.createDataFrame(dirty + clean, "doc_id long, text string, hits int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert [w[-1] for w in plain_contamination([d[:2] for d in dirty + clean], items)] == [True] * 3 + [False] * 5
+    got = decontaminate.keep_clean(docs, bench, limit=limit)
+    assert got.schema == docs.schema
+    same(got.collect(), clean)
+
+
 # ---- 7 ---------------------------------------------------------------------------------------------------------------
 def plain_bits(trees, texts, lang, data: bytes) -> float:
     counts = collections.defaultdict(collections.Counter)
