@@ -1,14 +1,12 @@
-"""Shared plumbing: reading tables, spreading small inputs over the cores, durable cuts in the lineage."""
+"""Shared plumbing: reading tables, spreading small inputs over the cores."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cuts import checkpoint_dir, cut  # noqa: F401
+
 #: Rows that one Arrow batch carries to Python. Texts are a few kB on average, so a batch is a few MB;
 #: every operator cuts its batches further, into slices of whole documents of about SLICE_BYTES.
 ARROW_ROWS = 2000
@@ -34,23 +32,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(column: str, folds: int):
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of this machine only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        master = spark.sparkContext.master
-        if not master.startswith("local[") and master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it back: executors may be lost afterwards."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.cuts import cut
 
 
 def resolve_aliases(aliases: DataFrame) -> DataFrame:
@@ -29,23 +29,24 @@ def resolve_stores(stores: DataFrame) -> DataFrame:
     return clean.groupBy("identity").agg(F.min_by("store", "seq").alias("store"))
 
 
-HOPS = 6
-
-
 def closure(aliases: DataFrame) -> DataFrame:
-    """(identity, canonical) for the identities that have an alias: the end of their chain; a chain that runs in a circle leaves
-    them where they are. ``aliases`` is what ``resolve_aliases`` gives.
+    """(identity, canonical) for the identities that have an alias: the end of their chain, however long; a chain that runs into a
+    circle leaves them where they are. ``aliases`` is what ``resolve_aliases`` gives.
 
-    Only the alias edges meet themselves, one join a link: ``HOPS`` + 1 links (sources state chains of one). Whatever
-    still has a link to follow after that counts as a circle.
+    Only the alias edges meet themselves, by pointer doubling: after round k each identity has followed 2^k links or come to its
+    chain's end. Of the chains that do end, the identity 2^k + 1 links from the end comes to it in the next round; so once a round
+    brings no identity to an end, those still under way reach some identity again, and their chains are circles.
     """
-    edge = aliases.where("canonical is not null").select("identity", "canonical").persist(StorageLevel.MEMORY_AND_DISK)
-    hop = edge.select(F.col("identity").alias("canonical"), F.col("canonical").alias("next"))
-    out = edge
-    for _ in range(HOPS):
-        out = out.join(hop, "canonical", "left").select("identity", F.coalesce("next", "canonical").alias("canonical"))
-    out = out.join(hop, "canonical", "left").select("identity", F.when(F.col("next").isNotNull(), F.col("identity")).otherwise(F.col("canonical")).alias("canonical"))
-    return out.persist(StorageLevel.MEMORY_AND_DISK)
+    edge = aliases.where("canonical is not null").select("identity", "canonical")
+    heads = edge.select(F.col("identity").alias("canonical"), F.lit(True).alias("open"))
+    out = cut(edge.join(heads, "canonical", "left").select("identity", "canonical", F.coalesce("open", F.lit(False)).alias("open")))
+    left, before = out.where("open").count(), None
+    while left and left != before:
+        hop = out.select(F.col("identity").alias("canonical"), F.col("canonical").alias("next"), F.col("open").alias("more"))
+        moved = out.where("open").select("identity", "canonical").join(hop, "canonical").select("identity", F.col("next").alias("canonical"), F.col("more").alias("open"))
+        out = cut(out.where("not open").unionByName(moved))
+        left, before = out.where("open").count(), left
+    return out.select("identity", F.when(F.col("open"), F.col("identity")).otherwise(F.col("canonical")).alias("canonical"))
 
 
 def with_titles(rows: DataFrame, column: str, ends: DataFrame, titles: DataFrame) -> DataFrame:
