@@ -49,16 +49,10 @@ class Tokens:
             key = np.where(place >= k - 1, mix(key * U(0xD1342543DE82EF95) + back + U(k)), U(0))
             self.keys.append(key)
 
-    def contexts(self, n: int) -> np.ndarray:
-        """Keys of the n-token contexts before each token: those of the token before; at a text's start, of the begin mark."""
-        out = np.empty_like(self.keys[n - 1])
-        out[1:] = self.keys[n - 1][:-1]
-        out[self.first] = BEGIN if n == 1 else U(0)
-        return out
-
 
 def grams_of(tokens: Tokens, order: int):
-    """By order: (distinct keys in ascending order, place of each token's key in them). The begin mark counts as a unigram."""
+    """By order: (distinct keys in ascending order, place of each token's key in them). The begin mark counts as a unigram; key 0
+    stands for no n-gram, where a text's start leaves fewer tokens."""
     out = []
     for n in range(order):
         keys = tokens.keys[n]
@@ -75,8 +69,8 @@ def score(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
     training rows every probability is that of the smoothed unigram over no counts. Ids may be null or repeat; each
     row gives one row. Other columns aren't read. N-grams are known by 64-bit hashes.
     """
-    if order not in (1, 2):
-        raise ValueError("order: 1 or 2")
+    if order < 1:
+        raise ValueError("order: 1 or more")
     spark = df.sparkSession
     rows = rows_of(df, id_col, text_col, F.coalesce(train, F.lit(False)).alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -138,14 +132,14 @@ def score(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
             m = len(tokens.doc)
             seen, begin = state[0][:m], state[0][m:]
             base = np.log10((seen + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))
-            weight = base
-            if order > 1:  # the state: the token before, or the begin mark
-                context = np.empty(m)
-                context[1:] = seen[:-1]
-                context[tokens.first] = begin
-                arc = np.log10((state[1] + mass * 10**base) / (context + mass))
-                fail = np.log10(mass / (context + mass)) + base
-                weight = np.where(state[1] > 0, arc, fail)
+            weight, place = base, np.arange(m) - np.repeat(tokens.first, tokens.count)
+            for n in range(1, order):  # the failure chain from its end: contexts of n tokens, those that the text's start leaves
+                context = np.zeros(m)
+                context[1:] = state[n - 1][: m - 1]
+                context[tokens.first] = begin if n == 1 else 0
+                arc = np.log10((state[n] + mass * 10**weight) / (context + mass))
+                fail = np.log10(mass / (context + mass)) + weight
+                weight = np.where(place >= n - 1, np.where(state[n] > 0, arc, fail), weight)
             add = lambda x: np.add.reduceat(x, tokens.first)  # noqa: E731  each document has its end token
             out.append(pa.table({
                 "id": pa.array(row["ids"], docs.schema.field("ids").type.value_type), "train": pa.array(unpack(row["flags"], np.uint8).astype(bool)),

@@ -14,7 +14,7 @@ def op1_token_counts(spark, sf_dir):
 
 
 def op2_lm_scoring(spark, sf_dir):
-    out = language_model.score(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
+    out = language_model.score(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0, order=3)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

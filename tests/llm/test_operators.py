@@ -108,6 +108,25 @@ def test_language_model(docs, empty):
     assert language_model.score(empty, F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_language_model_order(docs, order):
+    learns = lambda r: zlib.crc32(str(r[0]).encode() if r[0] is not None else b"") % 10 != 0
+    tokens = [["<s>", *WHITE.findall(low(text(r))), "</s>"] for r in ROWS]
+    seen = collections.Counter(tuple(t[k - n : k]) for t, r in zip(tokens, ROWS, strict=True) if learns(r) for n in range(1, order + 1) for k in range(n, len(t) + 1))
+    total, kinds = sum(c for g, c in seen.items() if len(g) == 1 and g != ("<s>",)), sum(len(g) == 1 and g != ("<s>",) for g in seen)
+
+    def p(h, w):
+        if not h:
+            return (seen[w,] + 0.1) / (total + 0.1 * (kinds + 1))
+        return (seen[*h, w] + language_model.MASS * p(h[1:], w)) / (seen[h] + language_model.MASS)
+
+    want = [(r[0], len(t) - 1, sum(math.log10(p(tuple(t[max(0, k - order + 1) : k]), t[k])) for k in range(1, len(t)))) for t, r in zip(tokens, ROWS, strict=True)]
+    key = lambda x: (str(x[0]), x[1])
+    got = sorted(((r.doc_id, r.n_tokens, r.score) for r in language_model.score(docs, fold("doc_id", 10) != 0, order=order, block_bytes=5000).collect()), key=key)
+    for g, w in zip(got, sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], rel=1e-9)
+
+
 # ---- 3 ---------------------------------------------------------------------------------------------------------------
 def test_word_table(docs, empty):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
