@@ -6,9 +6,9 @@
 3. Stars: in each bucket every node is compared with one centre (the node of the least hash of the round), so a bucket of n gives n - 1
    pairs. Pairs are confirmed on full sets and merged to components. Two rounds, with new centres for buckets that still mix components.
 4. What stars can't see: a link between two nodes of a mixed bucket neither of which was its centre. The nodes outside the centre's
-   component are compared with the whole bucket inside its blocks of ``BLOCK`` nodes, on 1024-bin signatures; a pair leaves a block only in the first band it shares and
-   if its estimate is 0.08 (six standard deviations) below the threshold or better. Sets of up to ``SMALL`` shingles travel with their nodes, so pairs of such sets
-   are confirmed inside the block and only links leave it. All pairs that leave are confirmed on full sets. No cap: every
+   component are compared with the whole bucket inside its blocks of ``BLOCK`` nodes, and a pair leaves a block only in the first band it shares. Sets of up to ``SMALL``
+   shingles travel with their nodes: pairs of such sets are compared exactly inside the block, and only links leave it. Other pairs leave it if the estimate
+   from 1024-bin signatures is 0.08 (six standard deviations) below the threshold or better. All pairs that leave are confirmed on full sets. No cap: every
    pair that shares a bucket is in one component, was compared by a star, or is compared here.
 """
 
@@ -25,6 +25,7 @@ from .base import SLICE_BYTES, cut, spread
 from .components import components
 from .kernel import U, flat, slices
 from .minhash import BANDS, ROWS, SHINGLE, band_keys, shingle_sets, signatures
+from .suffix_groups import ranges
 
 THRESHOLD, BLOCK, BINS, SLACK, SMALL = 75, 1024, 1024, 0.08, 320
 
@@ -90,26 +91,37 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _compare(group: pa.Table, least: float, threshold: int, kind: pa.DataType) -> pa.Table:
-    """Pairs of some blocks whose sketches agree in a share of ``least`` or more: those asked about against those that live there."""
+    """Pairs of some blocks, those asked about against those that live there: small sets that are similar, by their sets alone; others
+    whose sketches agree in a share of ``least`` or more."""
     key, block, label = (group[c].to_numpy() for c in ("key", "block", "label"))
     asks, lives = (group[c].to_numpy() for c in ("asks", "lives"))
     ids = group["id"].combine_chunks()
     sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
     keys = group["keys"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-    small = [np.frombuffer(x, U) if x else None for x in group["small"].to_pylist()]
+    small = [np.frombuffer(x or b"", U) for x in group["small"].to_pylist()]
+    size = np.array([len(x) for x in small])
     order = np.lexsort((block, key))
     edge = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (block[order][1:] != block[order][:-1]), [True]]))
     left, right = [], []
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         own = order[a:b]
+        if not asks[own].any():
+            continue
         living = own[lives[own]]
         band = int(np.flatnonzero(keys[own[0]] == key[own[0]])[0])
+        value, owner = np.concatenate([np.zeros(0, U), *(small[k] for k in living.tolist())]), np.repeat(np.arange(len(living)), size[living])
+        by = np.argsort(value, kind="stable")
+        value, owner = value[by], owner[by]
         for q in own[asks[own]].tolist():
-            x = living[label[living] != label[q]]
-            x = x[(sketch[x] == sketch[q]).sum(1) >= least * BINS]
+            by_sketch = np.ones(len(living), bool) if not size[q] else size[living] == 0
+            good = np.zeros(len(living), bool)
+            if size[q]:
+                first = np.searchsorted(value, small[q])
+                same = np.bincount(owner[ranges(first, np.searchsorted(value, small[q], "right") - first)], minlength=len(living))
+                good = 100 * same >= threshold * (size[living] + size[q] - same)
+            good[by_sketch] = (sketch[living[by_sketch]] == sketch[q]).sum(1) >= least * BINS
+            x = living[good & (label[living] != label[q])]
             x = x[~(keys[x, :band] == keys[q, :band]).any(1)]
-            if small[q] is not None:
-                x = np.array([k for k in x.tolist() if small[k] is None or similar(small[k], small[q], threshold)], np.int64)
             left.append(np.full(len(x), q))
             right.append(x)
     pick = [ids.take(pa.array(np.concatenate([np.zeros(0, np.int64), *p]).astype(np.int64))) for p in (left, right)]

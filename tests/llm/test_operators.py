@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -346,6 +347,22 @@ def test_near_duplicate_chains(spark):
     same(got.collect(), plain_near(rows))
 
 
+def test_small_sets_are_compared_exactly():
+    least, links = near_dedup.THRESHOLD / 100 - near_dedup.SLACK, 0
+    for seed in range(200):  # 3 of 4 shingles: exactly 0.75, whatever the sketch says
+        a = np.unique(np.random.default_rng(seed).integers(0, 2**63, 4).astype(np.uint64))
+        sets = [a, a[:3], a[:2]]
+        sketch = minhash.signatures(np.concatenate(sets), np.array([0, 4, 7, 9]), near_dedup.BINS).astype(np.uint8)
+        keys = [[7, *range(k, k + near_dedup.BANDS - 1)] for k in (100, 200, 300)]
+        links += (sketch[0] == sketch[1]).mean() < least
+        group = pa.table({
+            "key": [7] * 3, "block": [0] * 3, "label": [1, 2, 3], "asks": [True, False, False], "lives": [True] * 3, "id": [1, 2, 3], "sketch": [x.tobytes() for x in sketch],
+            "small": [x.tobytes() for x in sets], "keys": pa.array(keys, pa.list_(pa.int64())),
+        })
+        assert near_dedup._compare(group, least, near_dedup.THRESHOLD, pa.int64()).to_pylist() == [{"a": 1, "b": 2}]
+    assert links > 0  # of these, the sketch alone would have lost some
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(5)
     a = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
