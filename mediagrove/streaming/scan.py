@@ -1,6 +1,6 @@
 """Incremental scans as Structured Streaming: each batch of file facts updates the summaries of its roots.
 
-Counts are kept by the stream's state (complete mode), or added up by ``foreachBatch`` into a versioned table that a stale run can't overwrite.
+Counts are kept by the stream's state (complete mode). ``Fence`` holds off a stale scan within one driver; its generation isn't stored.
 """
 
 from __future__ import annotations
