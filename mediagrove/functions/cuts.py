@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: dict[str, SparkSession] = {}
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a folder of this machine only where none is named (tests)."""
@@ -21,9 +26,49 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def new_path(spark: SparkSession) -> str:
+    """A folder of the shared checkpoint folder that nobody uses; what is there when the driver ends is deleted."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    _MADE[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and reads it back: executors may be lost afterwards."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def cuts(*dfs: DataFrame) -> list[DataFrame]:
+    """The cuts of several frames, written at the same time."""
+    work = inheritable_thread_target(dfs[0].sparkSession)(cut)
+    with ThreadPoolExecutor(len(dfs)) as pool:
+        return list(pool.map(work, dfs))
+
+
+def release(*dfs: DataFrame | None) -> None:
+    """Deletes cuts that no frame still in use reads; frames that aren't cuts stay as they are."""
+    for df in dfs:
+        path = getattr(df, "_cut_path", None)
+        if path in _MADE:
+            _delete(path, _MADE.pop(path))
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    while _MADE:
+        path, spark = _MADE.popitem()
+        try:
+            _delete(path, spark)
+        except Exception:  # noqa: BLE001  the session may be gone, and its folders with it
+            return

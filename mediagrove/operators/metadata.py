@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.cuts import cut
+from ..functions.cuts import cut, release
 
 
 def resolve_aliases(aliases: DataFrame) -> DataFrame:
@@ -44,7 +44,8 @@ def closure(aliases: DataFrame) -> DataFrame:
     while left and left != before:
         hop = out.select(F.col("identity").alias("canonical"), F.col("canonical").alias("next"), F.col("open").alias("more"))
         moved = out.where("open").select("identity", "canonical").join(hop, "canonical").select("identity", F.col("next").alias("canonical"), F.col("more").alias("open"))
-        out = cut(out.where("not open").unionByName(moved))
+        last, out = out, cut(out.where("not open").unionByName(moved))
+        release(last)
         left, before = out.where("open").count(), left
     return out.select("identity", F.when(F.col("open"), F.col("identity")).otherwise(F.col("canonical")).alias("canonical"))
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.cuts import cut, cuts, release
 from ..functions.udf import aspect
 from . import metadata
 
@@ -61,41 +61,53 @@ def profile_index(selected: DataFrame) -> DataFrame:
 
 
 def keyed(obs: DataFrame, aliases: DataFrame, ends: DataFrame, titles: DataFrame, stores: DataFrame) -> DataFrame:
-    """Observations with game, platform, title, store and attention as each would state them for a new game."""
-    out = obs.join(colliding_hints(obs), "identity_hint", "left").withColumn("collides", F.coalesce("collides", F.lit(False)))
+    """Observations with game, platform, title, store and attention as each would state them for a new game.
+
+    Observations without a hint have one key, '', and nothing to meet: they stay out of the joins.
+    """
+    hint = F.col("identity_hint")
+    none = F.lit(None).cast("string")
+    bare = obs.where(hint == "").withColumns({"collides": F.lit(False), "original": F.lit(""), "canonical": F.lit(""), "known_title": none, "doubtful": F.lit(False), "store": none, "mapped": F.lit("")})
+    out = obs.where(hint != "")
+    out = out.join(colliding_hints(out), "identity_hint", "left").withColumn("collides", F.coalesce("collides", F.lit(False)))
     parts = F.split("identity_hint", ":", 3)
-    out = out.withColumn("original", F.when(F.col("collides") & (F.size(parts) == 3), S.disambiguated(parts[1], S.stem(F.col("path")))).otherwise(F.col("identity_hint")))
+    out = out.withColumn("original", F.when(F.col("collides") & (F.size(parts) == 3), S.disambiguated(parts[1], F.col("stem"))).otherwise(hint))
     out = metadata.with_titles(out, "original", ends, titles)
     doubt = aliases.where("ambiguous").select(F.col("identity").alias("original"), F.lit(True).alias("doubtful"))
-    out = out.join(doubt, "original", "left").join(stores.withColumnRenamed("identity", "original"), "original", "left")
+    out = out.join(doubt, "original", "left").withColumn("doubtful", F.coalesce("doubtful", F.lit(False))).join(stores.withColumnRenamed("identity", "original"), "original", "left")
     same = S.namespace(F.col("canonical")) == S.namespace(F.col("original"))
-    mapped = F.when(F.col("original") == "", F.lit("")).when(same, F.col("canonical")).otherwise(F.col("original"))
-    out = out.withColumn("mapped", mapped)
-    game = F.when(F.col("mapped") == "", F.concat(F.lit("unmapped:"), F.col("observation_id"))).otherwise(F.col("mapped"))
+    out = out.withColumn("mapped", F.when(same, F.col("canonical")).otherwise(F.col("original"))).unionByName(bare)
+    out = out.withColumn("game", F.when(F.col("mapped") == "", F.concat(F.lit("unmapped:"), F.col("observation_id"))).otherwise(F.col("mapped")))
+    game = F.col("game")
     title = (
         F.when(F.col("known_title").isNotNull(), F.col("known_title")).when(game.startswith("steam:"), F.concat(F.lit("Steam app "), F.substring(game, 7, 1000)))
-        .when(game.startswith("playnite:"), F.concat(F.lit("Playnite game "), S.short_id(F.substring(game, 10, 1000)))).otherwise(S.clean_title(S.stem(F.col("path"))))
+        .when(game.startswith("playnite:"), F.concat(F.lit("Playnite game "), S.short_id(F.substring(game, 10, 1000)))).otherwise(S.clean_title(F.col("stem")))
     )
     return out.withColumns({
-        "game": game, "title": title,
-        "platform": S.platform_of_identity(game, S.platform_of_observation(F.col("identity_hint"), F.col("root_kind"), F.col("system"))),
-        "attention": (F.col("mapped") == "") | F.col("collides") | F.coalesce("doubtful", F.lit(False)),
+        "title": title,
+        "platform": S.platform_of_identity(game, S.platform_of_observation(hint, F.col("root_kind"), F.col("system"))),
+        "attention": (F.col("mapped") == "") | F.col("collides") | F.col("doubtful"),
     })
 
 
 def build(obs: DataFrame, selected: DataFrame, aliases: DataFrame, titles: DataFrame, stores: DataFrame) -> Catalog:
-    keep = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)  # noqa: E731  what several branches below start from
-    selected, aliases, titles, stores = keep(selected), keep(aliases), keep(titles), keep(stores)
+    """The catalog's tables. What several of them start from is written to the shared checkpoint folder once, so each later
+    plan begins at a scan of a few columns and nothing stays in the executors' memory."""
+    obs, selected, aliases, titles, stores = cuts(
+        obs.withColumns({
+            "stem": S.stem(F.col("path")), "namespace": S.namespace(F.col("identity_hint")), "artwork_set": S.artwork_set(F.col("root_kind"), F.col("path")),
+            "source_name": S.source_name(F.col("root_kind")), "location": F.concat(F.col("root_id"), F.lit(":"), F.col("path")), "is_platform": is_platform_asset(),
+        }),
+        selected, aliases, titles, stores,
+    )
     ends = metadata.closure(aliases)
-    index = profile_index(selected)
-    copies = Window.partitionBy("sha256")
-    every = obs.withColumns({
-        "shared_copies": F.count(F.lit(1)).over(copies), "namespace": S.namespace(F.col("identity_hint")), "artwork_set": S.artwork_set(F.col("root_kind"), F.col("path")),
-        "source_name": S.source_name(F.col("root_kind")), "location": F.concat(F.col("root_id"), F.lit(":"), F.col("path")), "is_platform": is_platform_asset(),
-    }).join(index, ["namespace", "sha256"], "left").withColumn("profiles", F.coalesce("profiles", F.array().cast("array<string>")))
+    copies = obs.groupBy("sha256").agg(F.count(F.lit(1)).alias("shared_copies")).where("shared_copies > 1")
+    every = (
+        obs.join(copies, "sha256", "left").join(profile_index(selected), ["namespace", "sha256"], "left")
+        .withColumns({"shared_copies": F.coalesce("shared_copies", F.lit(1)), "profiles": F.coalesce("profiles", F.array().cast("array<string>"))})
+    )
     platform_assets = every.where("is_platform").withColumn("platform", F.concat(F.lit("retro:"), F.lower("system")))
-    assets = keyed(every.where("not is_platform"), aliases, ends, titles, stores).withColumn("role", F.when(F.col("role") == "", F.lit("other")).otherwise(F.col("role")))
-    assets = keep(assets)
+    assets = cut(keyed(every.where("not is_platform"), aliases, ends, titles, stores).withColumn("role", F.when(F.col("role") == "", F.lit("other")).otherwise(F.col("role"))))
 
     picked = selected.withColumns(profile_identity())
     picked = metadata.with_titles(picked.select("profile", "game_id", "own_game", "own_platform", "own_title").distinct(), "own_game", ends, titles)
@@ -115,7 +127,8 @@ def build(obs: DataFrame, selected: DataFrame, aliases: DataFrame, titles: DataF
         "game", F.coalesce("dp", "o.platform").alias("platform"), F.coalesce("dt", "o.title").alias("title"), F.coalesce("da", "o.attention").alias("attention"),
         F.coalesce("store", F.lit("")).alias("store"), F.coalesce("n", F.lit(0)).alias("assets"), F.array_except(F.array(*map(F.lit, S.EXPECTED_ROLES)), have).alias("missing_roles"),
     ).withColumns({"platform_name": S.platform_name(F.col("platform")), "fallback_frontend": fallback()[0], "fallback_roles": fallback()[1]})
-    games = keep(games)
+    games = cut(games)
+    release(aliases, titles, stores)
     used = game_profiles(games, assets, selected)
     games = games.join(used, "game", "left").withColumn("profiles", F.coalesce("profiles", F.array().cast("array<string>")))
     return Catalog(games, assets, platforms(games), platform_assets)

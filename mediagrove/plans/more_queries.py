@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.cuts import new_path
 from ..operators import bindings as B
 from ..operators import checks
 from ..streaming import scan
@@ -123,7 +122,7 @@ def ts1_incremental_scan(spark, sf_dir):
     schema = _t(spark, sf_dir, "events").schema
     facts = scan.read(spark, f"{sf_dir}/events*.parquet", schema).select(F.col("event_type").alias("root_id"), F.col("user_id").alias("size"))
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    name = f"incremental_scan_{abs(hash((sf_dir, id(facts))))}"
-    scan.run_to_memory(scan.summaries(facts), name, f"{base}/{name}")
+    path = new_path(spark)
+    name = f"incremental_scan_{path[-32:]}"
+    scan.run_to_memory(scan.summaries(facts), name, path)
     return spark.table(name)

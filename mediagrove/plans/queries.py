@@ -501,12 +501,14 @@ _TAKES = {
     "esde": ("retro_stem <> '' AND role IN ('cover', 'fanart', 'manual', 'marquee', 'miximage', 'physicalmedia', 'screenshot', 'titlescreen', 'video')", "retro_system || '/' || CASE role WHEN 'fanart' THEN 'fanart' ELSE role || 's' END || '/' || retro_stem || '.' || extension", "CASE role WHEN 'manual' THEN extension = 'pdf' WHEN 'video' THEN extension = 'mp4' ELSE extension IN ('png', 'jpg') END"),
     "romm": ("romm <> '' AND role IN ('manual', 'screenshot', 'cover')", "'api/roms/' || romm || '/' || role", "CASE role WHEN 'manual' THEN extension = 'pdf' ELSE extension IN ('png', 'jpg') END"),
 }
-_TAKES["decky"] = (_TAKES["steam"][0], "'artwork/' || trim(regexp_replace(lower(profile), '[^a-z0-9]+', '-', 'g'), '-') || '/grid/' || " + _TAKES["steam"][1], _TAKES["steam"][2])
+_PID = "trim(regexp_replace(lower(profile), '[^a-z0-9]+', '-', 'g'), '-')"
+_TAKES["decky"] = (_TAKES["steam"][0], f"'artwork/' || {_PID} || '/grid/' || " + _TAKES["steam"][1], _TAKES["steam"][2])
 for _a, (_takes, _path, _fits) in _TAKES.items():
     QUERIES[f"t8_export_{_a}"] = lambda spark, sf_dir, adapter=_a: profiles.export_plan(adapter, B.selected(spark, sf_dir))
     SQL[f"t8_export_{_a}"] = f"""WITH {_SEL} SELECT profile, 'copy' AS action, 'library/assets/sha256/' || sha256[:2] || '/' || sha256 || '/content.' || extension AS source_path, sha256, {_path} AS destination_path, game_id, role,
   CASE WHEN {_fits} THEN '' ELSE '{_a} adapter does not support .' || extension || ' for role ' || role || '; create a derived canonical asset first' END AS problem FROM sel WHERE {_takes}""" + (
-        " UNION ALL SELECT DISTINCT profile, 'render', '', '', 'profiles/' || trim(regexp_replace(lower(profile), '[^a-z0-9]+', '-', 'g'), '-') || '.json', '', '', '' FROM sel" if _a == "decky" else ""
+        f""" UNION ALL SELECT DISTINCT profile, 'render', '', '', 'profiles/' || {_PID} || '.json', '', '', '' FROM sel
+  UNION ALL SELECT profile, 'render', '', '', 'artwork/' || any_value({_PID}) || '/grid/.deck-profile-empty', '', '', '' FROM sel GROUP BY profile HAVING count(*) FILTER (WHERE {_takes}) = 0""" if _a == "decky" else ""
     )
 
 
