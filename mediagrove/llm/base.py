@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cuts import checkpoint_dir, cut  # noqa: F401
+from ..functions.cuts import cut, release  # noqa: F401
 
 #: Rows that one Arrow batch carries to Python. Texts are a few kB on average, so a batch is a few MB;
 #: every operator cuts its batches further, into slices of whole documents of about SLICE_BYTES.
 ARROW_ROWS = 2000
 SLICE_BYTES = 1 << 20
+_HELD: dict = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -32,3 +37,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(column: str, folds: int):
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def trim() -> None:
+    """Gives free memory of this Python worker back: workers outlive their tasks, and the next operator needs the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def held(owner: str, key: str, make):
+    """What a worker keeps from task to task (a tokenizer, an automaton), made once. A worker holds things of one operator at a
+    time: those of others are let go."""
+    if any(o != owner for o, _ in _HELD):
+        _HELD.clear()
+        trim()
+    if (owner, key) not in _HELD:
+        _HELD[owner, key] = make()
+    return _HELD[owner, key]

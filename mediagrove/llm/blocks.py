@@ -10,13 +10,14 @@ What is shuffled: distinct keys by block, answers, and the text once, compressed
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .base import spread
+from .base import cut, spread
 from .kernel import flat, slices
 
 BLOCK_BYTES = 8 << 20
@@ -42,8 +43,17 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, such that reading it again gives the same batches: as it is where it comes straight from files, else written once.
+
+    What stands behind a shuffle may be dealt otherwise when it is read again (adaptive plans, lost executors).
+    """
+    nodes = re.findall(r"^[\s:+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    return df if set(nodes) <= {"Project", "Filter", "Relation"} else cut(df)
+
+
 def rows_of(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
-    return spread(df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"), *more))
+    return settled(spread(df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"), *more)))
 
 
 def blocks(batches, limit: int):

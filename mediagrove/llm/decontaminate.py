@@ -17,14 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .base import SLICE_BYTES, spread
+from .base import SLICE_BYTES, held, spread
 from .kernel import ALNUM, Words, flat, slices
 
 WINDOW, LIMIT = 13, 160 << 10
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BUILT: dict = {}
 
 
 def windows(text: str | None, window: int = WINDOW) -> list[str]:
@@ -35,10 +34,9 @@ def windows(text: str | None, window: int = WINDOW) -> list[str]:
 
 
 def _automaton(key: str, items: list[tuple[str, str]], window: int):
-    if key not in _BUILT:
+    def build():
         import ahocorasick
 
-        _BUILT.clear()
         of: dict[str, set[str]] = {}
         for item, text in items:
             for w in windows(text, window):
@@ -47,8 +45,9 @@ def _automaton(key: str, items: list[tuple[str, str]], window: int):
         for w, ids in of.items():
             machine.add_word(w, (len(w), w.count(" "), tuple(sorted(ids))))
         machine.make_automaton()
-        _BUILT[key] = machine
-    return _BUILT[key]
+        return machine
+
+    return held("decontaminate", key, build)
 
 
 def scan(machine, data: np.ndarray, ends: np.ndarray):

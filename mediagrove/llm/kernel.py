@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,11 +110,21 @@ class Words:
         self.doc = np.repeat(np.arange(len(ends) - 1), self.count)
 
     def hashes(self, table: np.ndarray) -> np.ndarray:
-        n = len(self.data)
-        up, down = _Powers.get(n + 1)
-        h = np.zeros(n + 1, U)
-        np.cumsum(table[self.data] * up[:n], out=h[1:])
-        out = (h[self.end] - h[self.start]) * down[self.start]
+        """Polynomial hashes, added up over runs of ``CHUNK`` bytes: memory doesn't grow with the texts."""
+        up, down = _Powers.get(CHUNK)
+        out = np.zeros(len(self.start), U)
+        for c in range(0, len(self.data), CHUNK):
+            part = self.data[c : c + CHUNK]
+            h = np.zeros(len(part) + 1, U)
+            np.cumsum(table[part] * up[: len(part)], out=h[1:])
+            a, b = np.searchsorted(self.end, c, "right"), np.searchsorted(self.start, c + len(part))
+            if a == b:
+                continue
+            first = np.maximum(self.start[a:b] - c, 0)
+            own = (h[np.minimum(self.end[a:b] - c, len(part))] - h[first]) * down[first]
+            if self.start[a] < c:  # a word that began in an earlier run
+                own[:1] *= U(pow(_BASE, c - int(self.start[a]), 1 << 64))
+            out[a:b] += own
         return mix(out + (self.end - self.start).astype(U) * U(0xD6E8FEB86659FD93))
 
 

@@ -23,33 +23,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import SLICE_BYTES, spread
+from .base import SLICE_BYTES, held, spread
 from .kernel import flat, slices
 
 CHUNK, OVERLAP, MARGIN, REMEMBER = 16384, 256, 64, 400_000
-_LOADED: dict = {}
 
 
-def tokenizer(name: str):
+def tokenizer(name: str, owner: str = "token_counts"):
     """The tokenizer of a file of ``public_tokenizers`` (or of a path), loaded once in each worker."""
-    if name not in _LOADED:
+
+    def load():
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
+        path = name
         if "/" not in name:
             import public_tokenizers
 
-            name_at = public_tokenizers.path(name)
-        else:
-            name_at = name
-        loaded = Tokenizer.from_file(name_at)
+            path = public_tokenizers.path(name)
+        loaded = Tokenizer.from_file(path)
         loaded.no_truncation()
         loaded.no_padding()
-        _LOADED[name] = loaded
-    return _LOADED[name]
+        return loaded
+
+    return held(owner, name, load)
 
 
 def boundaries(encoding, base: int) -> dict[int, int]:

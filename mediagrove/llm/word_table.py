@@ -17,13 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .base import held
 from .blocks import BLOCK_BYTES, blocks, bucket_of, opened, pack, rows_of, texts, unpack
 from .kernel import NOT_WHITE, Words, letters
 from .token_counts import tokenizer
 
-FILE = "word_bpe_49k.json"
+FILE, BATCH = "word_bpe_49k.json", 4096
 _TABLE = letters(False)
-_PIECES: dict = {}
 
 
 def distinct_words(data: np.ndarray, ends: np.ndarray, buckets: int):
@@ -62,10 +62,12 @@ def places(size: np.ndarray) -> np.ndarray:
 
 def pieces(file: str) -> pa.Array:
     """The piece of every id, by id; '' for ids that the vocabulary leaves out."""
-    if file not in _PIECES:
-        tok = tokenizer(file)
-        _PIECES[file] = pa.array([tok.id_to_token(k) or "" for k in range(tok.get_vocab_size(with_added_tokens=True))], pa.large_utf8())
-    return _PIECES[file]
+
+    def load():
+        tok = tokenizer(file, "word_table")
+        return pa.array([tok.id_to_token(k) or "" for k in range(tok.get_vocab_size(with_added_tokens=True))], pa.large_utf8())
+
+    return held("word_table", f"pieces of {file}", load)
 
 
 def encode_decode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_file: str = FILE, full: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -92,16 +94,17 @@ def encode_decode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             )
 
     def encode(group: pa.Table) -> pa.Table:
-        tok = tokenizer(tokenizer_file)
+        tok = tokenizer(tokenizer_file, "word_table")
         known: dict[str, int] = {}
-        lists = [[known.setdefault(w, len(known)) for w in unpack(x).decode().split(" ")] for x in group["words"].to_pylist()]
-        got = tok.encode_batch_fast(list(known), add_special_tokens=False)  # each distinct word once
-        count = np.fromiter((len(e.ids) for e in got), np.int64, len(got))
-        ids = np.fromiter((i for e in got for i in e.ids), np.uint32, int(count.sum()))
+        lists = [np.fromiter((known.setdefault(w, len(known)) for w in unpack(x).decode().split(" ")), np.int32) for x in group["words"].to_pylist()]
+        words = list(known)
+        got = [[e.ids for e in tok.encode_batch_fast(words[k : k + BATCH], add_special_tokens=False)] for k in range(0, len(words), BATCH)]  # each distinct word once
+        count = np.fromiter((len(e) for part in got for e in part), np.int64, len(words))
+        ids = np.fromiter((i for part in got for e in part for i in e), np.uint32, int(count.sum()))
+        del known, words, got
         start = np.cumsum(count) - count
         out = []
-        for own in lists:
-            k = np.array(own)
+        for k in lists:
             n = count[k]
             out.append((pack(n.astype(np.uint32)), pack(ids[np.repeat(start[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())])))
         return pa.table({"block": group["block"], "bucket": group["bucket"], "counts": pa.array([c for c, _ in out], pa.binary()), "ids": pa.array([i for _, i in out], pa.binary())})
