@@ -70,20 +70,20 @@ def blocks(batches, limit: int):
 
 
 def texts(df: DataFrame, limit: int, extra: str = "") -> DataFrame:
-    """(block, ids, sizes, data[, flags]): a compressed row a block. ``extra``: a boolean column that goes along."""
+    """(block, ids, sizes, data, bytes[, flags]): a compressed row a block. ``extra``: a boolean column that goes along."""
 
     def run(batches):
         for name, own, part, cuts in blocks(batches, limit):
             ids = pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), own.column(0))
-            columns = [pa.array([name]), ids, pa.array([pack(np.diff(cuts))], pa.binary()), pa.array([pack(part.tobytes())], pa.binary())]
-            names = ["block", "ids", "sizes", "data"]
+            columns = [pa.array([name]), ids, pa.array([pack(np.diff(cuts))], pa.binary()), pa.array([pack(part.tobytes())], pa.binary()), pa.array([len(part)])]
+            names = ["block", "ids", "sizes", "data", "bytes"]
             if extra:
                 columns.append(pa.array([pack(own.column(2).to_numpy(zero_copy_only=False).astype(np.uint8))], pa.binary()))
                 names.append("flags")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"block string, ids array<{kind}>, sizes binary, data binary" + ", flags binary" * bool(extra))
+    return df.mapInArrow(run, f"block string, ids array<{kind}>, sizes binary, data binary, bytes long" + ", flags binary" * bool(extra))
 
 
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray]:

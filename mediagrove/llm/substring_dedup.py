@@ -6,9 +6,15 @@ windows share an anchor at the same distance, and all texts that must be ordered
 2. For the others a block sends each distinct context (the bytes of all windows of one occurrence) with its least document
    id. All contexts of an anchor form a lane. The suffix array of the lane puts equal windows side by side; the least id
    of each run goes back. A lane of one distinct context has nothing to order: its windows share its least id.
-3. An anchor of more than ``HOT`` documents would make an unbounded lane. Its windows are sent one by one as pairs of 64-bit hashes,
-   each distinct one once a block, and dealt by hash, which is exact but for collisions of 128 bits, and bounded whatever the number of copies.
-4. A block marks the windows whose least id is smaller than the document's own, and cuts their bytes out.
+3. Windows of a lane can only be equal if they agree in the bytes next to the anchor: to its right if the anchor stands in the window's
+   first half, else to its left. Contexts that share neither with another one of their lane have nothing to meet. A lane of more than
+   ``LIMIT`` bytes is split by these bytes, into lanes of half as many windows a context, again and again: so lanes are bounded.
+4. An anchor of more than ``HOT`` documents would gather its contexts in one task. Its windows are sent one by one as pairs of 64-bit
+   hashes, each distinct one once a block, and dealt by hash: exact but for collisions of 128 bits, bounded whatever the number of copies.
+5. A block marks the windows whose least id is smaller than the document's own, and cuts their bytes out.
+
+Contexts of one anchor count as equal if their 64-bit hashes are, so two contexts are taken for one only if they share the gram of
+the anchor and collide: about 3e-20 for each pair of contexts of one anchor.
 """
 
 from __future__ import annotations
@@ -19,29 +25,61 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .anchors import GRAM, LENGTH, Anchors
-from .base import SLICE_BYTES, cut
+from .base import cut
 from .blocks import BLOCK_BYTES, bucket_of, opened, pack, rows_of, texts, unpack
-from .kernel import U, _Powers, mix, salts, slices
+from .kernel import CHUNK, U, _Powers, mix, salts, slices
 from .suffix_groups import ranges, suffix_arrays
 
-HOT, LANES, GATHER, BUCKETS = 256, 1 << 19, 20_000, 4
+HOT, LANES, LIMIT, BUCKET_BYTES = 2048, 1 << 19, 1024, 16 << 20
 NO_ID = np.iinfo(np.int64).max
 _ONE, _TWO = salts(256, 51), salts(256, 52)
 ANCHORS, CONTEXTS, WINDOWS = 0, 1, 2
 
 
-def _prefix(data: np.ndarray, table: np.ndarray) -> np.ndarray:
-    up, _ = _Powers.get(len(data) + 1)
-    h = np.zeros(len(data) + 1, U)
-    np.cumsum(table[data] * up[: len(data)], out=h[1:])
-    return h
+def hashes_at(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end], a short string each; read in runs of ``CHUNK`` / 2 bytes."""
+    size = end - start
+    if 2 * size.sum() < len(data):  # few: leave out what lies between them
+        data, end = data[ranges(start, size)], np.cumsum(size)
+        start = end - size
+    out = np.empty(len(start), U)
+    order = None if len(start) < 2 or (start[1:] >= start[:-1]).all() else np.argsort(start, kind="stable")
+    if order is not None:
+        start, end = start[order], end[order]
+    for c in range(0, len(data), CHUNK // 2):
+        a, b = np.searchsorted(start, [c, c + CHUNK // 2])
+        if a == b:
+            continue
+        part = data[c : int(end[a:b].max())]
+        up, down = _Powers.get(len(part) + 1)
+        h = np.zeros(len(part) + 1, U)
+        np.cumsum(table[part] * up[: len(part)], out=h[1:])
+        s, e = start[a:b] - c, end[a:b] - c
+        out[a:b] = mix((h[e] - h[s]) * down[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
+    if order is not None:
+        back = np.empty_like(out)
+        back[order] = out
+        out = back
+    return out
+
+
+def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of their keys, where each run of equal keys begins in it, and the number of each row's run."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), number
 
 
-def _hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = _Powers.get(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+def _least(values: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.minimum.reduceat(values[order], first) if len(first) else np.zeros(0, np.int64)
 
 
 class _Block:
@@ -51,65 +89,35 @@ class _Block:
         self.length = length
         self.data, self.ends = opened(row)
         self.ids = np.array([NO_ID if x is None else x for x in row["ids"]], np.int64)
-        parts = [(int(self.ends[a]), a, Anchors(self.data[self.ends[a] : self.ends[b]], self.ends[a : b + 1] - self.ends[a], length, gram)) for a, b in slices(self.ends, SLICE_BYTES)]
-        key = np.concatenate([np.zeros(0, U), *(x.key for _, _, x in parts)])
-        none = np.zeros(0, np.int64)
-        self.doc = np.concatenate([none, *(x.doc + a for _, a, x in parts)])
-        self.first = np.concatenate([none, *(x.first + at for at, _, x in parts)])
-        self.last = np.concatenate([none, *(x.last + at for at, _, x in parts)])
-        self.keys, self.number = np.unique(key, return_inverse=True)
+        found = Anchors(self.data, self.ends, length, gram)
+        self.doc, self.first, self.last, self.place = found.doc, found.first, found.last, found.place
+        self.keys, self.number = np.unique(found.key, return_inverse=True)
 
     def counts(self) -> np.ndarray:
-        n = len(self.ids)
-        return np.bincount(np.unique(self.number * n + self.doc) // max(n, 1), minlength=len(self.keys)).astype(np.uint32)
-
-    def spans(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First byte of the first and of the last window of the anchors in ``mask``."""
-        return self.first[mask], self.last[mask]
+        n = max(1, len(self.ids))
+        pairs = self.number * n + self.doc
+        pairs.sort()
+        return np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] // n, minlength=len(self.keys)).astype(np.uint32)
 
     def contexts(self, total: np.ndarray, hot: int):
         """Of anchors in several documents: the distinct contexts, and for hot anchors the distinct windows.
 
-        ((key, first, end, least id) of each distinct context, place of each occurrence in them, first, last, doc), and the
-        same of windows with (hash, second hash, least id).
+        ((key, first, end, place of the gram in it, least id) of each distinct context, place of each occurrence in them, first, last,
+        doc), and the same of windows with (hash, second hash, least id), place, first, doc.
         """
         many = total[self.number]
         cold, warm = (many >= 2) & (many <= hot), many > hot
-        first, last = self.spans(cold)
-        end, doc, key = last + self.length, self.doc[cold], self.keys[self.number[cold]]
-        h = np.empty(len(first), U)
-        for a, b, part in self._by_slice(first):
-            h[part] = _hash(_prefix(self.data[a:b], _ONE), first[part] - a, end[part] - a)
-        order = np.lexsort((h, key))
-        new = np.ones(len(order), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (key[order][1:] != key[order][:-1])
-        at = np.flatnonzero(new)
-        where = np.empty(len(order), np.int64)
-        where[order] = np.cumsum(new) - 1
-        least = np.minimum.reduceat(self.ids[doc][order], at) if len(at) else np.zeros(0, np.int64)
+        first, last, doc = self.first[cold], self.last[cold], self.doc[cold]
+        end, key = last + self.length, self.number[cold]  # numbers are in the order of keys
+        order, at, where = grouped(key, hashes_at(self.data, first, end, _ONE))
         pick = order[at]
-        cold_out = (key[pick], first[pick], end[pick], least), where, first, last, doc
-
-        first, last = self.spans(warm)
-        n = last - first + 1
-        start, doc = ranges(first, n), np.repeat(self.doc[warm], n)
-        one, two = np.empty(len(start), U), np.empty(len(start), U)
-        for a, b, part in self._by_slice(start):
-            for out, table in ((one, _ONE), (two, _TWO)):
-                out[part] = _hash(_prefix(self.data[a:b], table), start[part] - a, start[part] - a + self.length)
-        order = np.lexsort((two, one))
-        new = np.ones(len(order), bool)
-        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-        at = np.flatnonzero(new)
-        where_w = np.empty(len(order), np.int64)
-        where_w[order] = np.cumsum(new) - 1
-        least = np.minimum.reduceat(self.ids[doc][order], at) if len(at) else np.zeros(0, np.int64)
-        return cold_out, ((one[order[at]], two[order[at]], least), where_w, start, doc)
+        cold_out = (self.keys[key[pick]], first[pick], end[pick], self.place[cold][pick] - first[pick], _least(self.ids[doc], order, at)), where, first, last, doc
 
-    def _by_slice(self, start: np.ndarray):
-        for a, b in slices(self.ends, SLICE_BYTES):
-            lo, hi = int(self.ends[a]), int(self.ends[b])
-            yield lo, hi, np.flatnonzero((start >= lo) & (start < hi))
+        first, n = self.first[warm], self.last[warm] - self.first[warm] + 1
+        start, doc_w = ranges(first, n), np.repeat(self.doc[warm], n)
+        one, two = (hashes_at(self.data, start, start + self.length, t) for t in (_ONE, _TWO))
+        order, at, where = grouped(one, two)
+        return cold_out, ((one[order[at]], two[order[at]], _least(self.ids[doc_w], order, at)), where, start, doc_w)
 
 
 def _totals(group: pa.Table) -> pa.Table:
@@ -125,109 +133,157 @@ def _answer(group: pa.Table, packs: list[tuple[bytes, bytes]]) -> pa.Table:
     return pa.table({"block": group["block"], "bucket": group["bucket"], "kind": group["kind"], "x": pa.array([x for x, _ in packs], pa.binary()), "y": pa.array([y for _, y in packs], pa.binary())})
 
 
-def least_ids(lane: np.ndarray, text: np.ndarray, size: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
-    """For every window of every context, context after context: the least id of a context of its lane that has that window.
-
-    ``lane``: ascending; ``text``: the contexts' bytes one after another, of ``size`` bytes each; contexts of a lane differ.
-    """
-    n_windows = size - length + 1
-    at = np.cumsum(n_windows) - n_windows
-    out = np.repeat(ids, n_windows)
-    begin = np.cumsum(size) - size
-    edge = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1], [True]])) if len(lane) else np.zeros(1, np.int64)
-    many = np.flatnonzero(np.diff(edge) > 1)
-    width = np.add.reduceat(size + 1, edge[:-1])[many] if len(many) else np.zeros(0, np.int64)
-    many, width = many[np.argsort(width, kind="stable")], np.sort(width)  # lanes of like size together
+def _ordered(out: np.ndarray, text: np.ndarray, lane: np.ndarray, begin: np.ndarray, n: np.ndarray, off: np.ndarray, length: int) -> None:
+    """Orders the contexts of each lane by a suffix array and writes the least id of equal windows to ``out``. ``lane``: ascending;
+    a context has ``n`` windows; its bytes begin at ``begin`` in ``text``, its windows' ids at ``off`` in ``out``."""
+    if not len(lane):
+        return
+    size = n + length - 1
+    edge = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1], [True]]))
+    width = np.add.reduceat(size + 1, edge[:-1])
+    many = np.argsort(width, kind="stable")  # lanes of like size together
+    width = width[many]
+    step = 8 if length >= 8 else 1
     for a, b in slices(np.concatenate([[0], np.cumsum(width)]), LANES):
-        chosen = many[a:b]
-        context = ranges(edge[chosen], np.diff(edge)[chosen])
+        context = ranges(edge[many[a:b]], np.diff(edge)[many[a:b]])
         own = size[context]
-        length_of = width[a:b]
-        symbols = np.ones(int(length_of.sum()), np.int16)
-        put = np.cumsum(own + 1) - (own + 1)  # each context, then a separator
-        symbols[ranges(put, own)] = text[ranges(begin[context], own)].astype(np.int16) + 2
-        symbols[np.cumsum(length_of) - 1] = 0
-        order = suffix_arrays(symbols, length_of)
+        raw = np.zeros(int(width[a:b].sum()) + 8, np.uint8)  # each context, then a separator
+        put = np.cumsum(own + 1) - (own + 1)
+        raw[ranges(put, own)] = text[ranges(begin[context], own)]
+        symbols = raw[:-8].astype(np.int16) + 2
+        symbols[put + own] = 1
+        symbols[np.cumsum(width[a:b]) - 1] = 0
+        order = suffix_arrays(symbols, width[a:b])
         # the windows in the order of their suffixes
         offset = np.full(len(symbols), -1)
-        m = own - length + 1
-        offset[ranges(put, m)] = ranges(at[context], m)
+        offset[ranges(put, n[context])] = ranges(off[context], n[context])
         order = order[offset[order] >= 0]
-        shown = np.lib.stride_tricks.sliding_window_view(symbols, length)
-        lane_of = np.repeat(np.arange(len(chosen)), length_of)[order]
+        lane_of = np.repeat(np.arange(b - a), width[a:b])[order]
+        same = np.flatnonzero(lane_of[1:] == lane_of[:-1])
+        words = np.lib.stride_tricks.as_strided(raw.view(np.uint8), (len(raw) - 7, 8), (1, 1)).view(np.uint64)[:, 0] if step == 8 else raw
+        for k in sorted({*range(0, length - step + 1, step), length - step}):  # bytes of neighbours, as far as they agree
+            same = same[words[order[same + 1] + k] == words[order[same] + k]]
         new = np.ones(len(order), bool)
-        for c in range(1, len(order), 1 << 16):
-            d = min(len(order), c + (1 << 16))
-            new[c:d] = (shown[order[c:d]] != shown[order[c - 1 : d - 1]]).any(1) | (lane_of[c:d] != lane_of[c - 1 : d - 1])
+        new[same + 1] = False
         first = np.flatnonzero(new)
         to = offset[order]
         least = np.minimum.reduceat(out[to], first)
         out[to] = np.repeat(least, np.diff(np.append(first, len(order))))
+
+
+def least_ids(lane: np.ndarray, text: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray, ids: np.ndarray, length: int, gram: int, limit: int = LIMIT) -> np.ndarray:
+    """For every window of every context, context after context: the least id of a context of its lane that has that window.
+
+    Contexts of a lane differ and hold the lane's gram at ``at``; their bytes are the ``size`` bytes at ``begin`` in ``text``.
+    """
+    span = length - gram
+    n = size - length + 1
+    off = np.cumsum(n) - n
+    out = np.repeat(ids, n)
+    copies = []
+    lo, hi = np.zeros(len(n), np.int64), np.full(len(n), span)  # where the gram stands in an item's windows
+    while len(lane):
+        middle = (lo + hi) >> 1
+        halves = []
+        for a, b in ((lo, middle), (middle + 1, hi)):
+            first, last = np.maximum(at - b, 0), np.minimum(at - a, n - 1)
+            item = np.flatnonzero((a <= b) & (first <= last))  # those that have such windows
+            core = hashes_at(text, (begin + at - a)[item], (begin + at + gram + span - b)[item], _ONE)  # what all such windows of a lane must share
+            _, runs, number = grouped(lane[item], core)
+            shared = np.bincount(number, minlength=len(runs))[number] > 1
+            halves.append((item[shared], number[shared], first[item[shared]], last[item[shared]], a, b))
+        alive = np.zeros(len(lane), bool)
+        for half in halves:
+            alive[half[0]] = True
+        _, runs, number = grouped(lane)
+        small = alive & (np.bincount(number, np.where(alive, n + length, 0), len(runs)) <= limit)[number]
+        of = np.flatnonzero(small)
+        of = of[np.argsort(number[of], kind="stable")]
+        _ordered(out, text, number[of], begin[of], n[of], off[of], length)
+        parts, base = [], 0
+        for item, sub, first, last, a, b in halves:
+            go = ~small[item]
+            i, f, m = item[go], first[go], (last - first + 1)[go]
+            parts.append((sub[go] + base, begin[i] + f, m, at[i] - f, off[i] + f, a[i], b[i]))
+            base += len(lane)
+        lane, begin, n, at, off, lo, hi = (np.concatenate(c) for c in zip(*parts, strict=True))
+        if not len(lane):
+            break
+        order, runs, number = grouped(lane, hashes_at(text, begin, begin + n + length - 1, _ONE))  # equal ones become one
+        pick = order[runs]
+        least = _least(out[off], order, runs)
+        out[ranges(off[pick], n[pick])] = np.repeat(least, n[pick])
+        twin = np.flatnonzero(pick[number] != np.arange(len(number)))
+        copies.append((off[twin], off[pick[number[twin]]], n[twin]))
+        _, runs, number = grouped(lane[pick])
+        pick = pick[np.bincount(number, minlength=len(runs))[number] > 1]
+        lane, begin, n, at, off, lo, hi = (c[pick] for c in (lane, begin, n, at, off, lo, hi))
+    for to, source, m in reversed(copies):
+        out[ranges(to, m)] = out[ranges(source, m)]
     return out
 
 
-def _order(group: pa.Table, length: int) -> pa.Table:
+def _order(group: pa.Table, length: int, gram: int) -> pa.Table:
     """Answers packs of contexts or windows with least ids."""
     x, y = group["x"].to_pylist(), group["y"].to_pylist()
     if group["kind"][0].as_py() == WINDOWS:
         packs = [(unpack(a, U).reshape(2, -1), unpack(b, np.int64)) for a, b in zip(x, y, strict=True)]
         both = np.concatenate([a for a, _ in packs], 1)
         ids = np.concatenate([b for _, b in packs])
-        order = np.lexsort((both[1], both[0]))
-        new = np.ones(len(order), bool)
-        new[1:] = (both[:, order[1:]] != both[:, order[:-1]]).any(0)
-        least = np.empty(len(order), np.int64)
-        least[order] = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        order, first, number = grouped(both[0], both[1])
+        least = _least(ids, order, first)[number]
         edge = np.cumsum([0, *(len(b) for _, b in packs)])
         return _answer(group, [(pack(least[a:b]), b"") for a, b in zip(edge[:-1], edge[1:], strict=True)])
-    key, size, ids, text = [], [], [], []
+    key, size, place, ids, text = [], [], [], [], []
     for a, b in zip(x, y, strict=True):
-        head = unpack(a, U).reshape(3, -1)
+        head = unpack(a, U).reshape(4, -1)
         key.append(np.cumsum(head[0], dtype=U))
         size.append(head[1].astype(np.int64))
-        ids.append(head[2].view(np.int64))
+        place.append(head[2].astype(np.int64))
+        ids.append(head[3].view(np.int64))
         text.append(np.frombuffer(unpack(b), np.uint8))
     edge = np.cumsum([0, *map(len, key)])
-    key, size, ids, text = map(np.concatenate, (key, size, ids, text))
+    key, size, place, ids, text = map(np.concatenate, (key, size, place, ids, text))
     begin = np.cumsum(size) - size
-    h = np.empty(len(key), U)
-    for a, b in slices(np.append(begin, len(text)), SLICE_BYTES):
-        lo, hi = begin[a], begin[b - 1] + size[b - 1]
-        h[a:b] = _hash(_prefix(text[lo:hi], _ONE), begin[a:b] - lo, begin[a:b] + size[a:b] - lo)
-    order = np.lexsort((h, key))
-    new = np.ones(len(order), bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1])
-    first = np.flatnonzero(new)
+    order, first, number = grouped(key, hashes_at(text, begin, begin + size, _ONE))
     pick = order[first]
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    least = np.minimum.reduceat(ids[order], first)
-    same = np.concatenate([np.zeros(0, np.uint8), *(text[ranges(begin[p], size[p])] for p in np.array_split(pick, 1 + len(pick) // GATHER))])
-    every = least_ids(key[pick], same, size[pick], least, length)
+    least = _least(ids, order, first)
+    _, runs, lane = grouped(key[pick])
+    many = np.flatnonzero(np.bincount(lane, minlength=len(runs))[lane] > 1)
+    chosen = pick[many]
+    every = least_ids(lane[many], text, begin[chosen], size[chosen], place[chosen], least[many], length, gram)
+    n = size[chosen] - length + 1
+    at = np.zeros(len(pick), np.int64)
+    at[many] = np.cumsum(n) - n
+    high = least.copy()
+    low = least.copy()
+    if len(many):
+        low[many], high[many] = np.minimum.reduceat(every, at[many]), np.maximum.reduceat(every, at[many])
     n = size[pick] - length + 1
-    at = np.cumsum(n) - n
-    low, high = np.minimum.reduceat(every, at), np.maximum.reduceat(every, at)
     out = []
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         k = number[a:b]
-        varies = k[low[k] != high[k]]
-        out.append((pack(np.where(low[k] == high[k], low[k], -1 - n[k])), pack(every[ranges(at[varies], n[varies])])))
+        mixed = low[k] != high[k]
+        out.append((pack(np.concatenate([low[k], mixed.astype(np.int64)])), pack(every[ranges(at[k[mixed]], n[k[mixed]])])))
     return _answer(group, out)
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, full: bool = True, block_bytes: int = 3 * BLOCK_BYTES // 4) -> DataFrame:
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, full: bool = True, block_bytes: int = 3 * BLOCK_BYTES // 4,
+                   bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row an input row: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256, and with ``full`` kept (bytes) and spans.
 
     Removed: each byte of the UTF-8 text in a window of ``length`` bytes that also occurs in a row of a smaller id, overlapping or not. Windows
-    don't cross documents, and are judged on the input. Ids are integers of 0 or more; a null id counts as greater than all others; rows of equal ids
-    don't remove each other's bytes. Null texts are empty: nothing is removed. Other columns aren't read.
+    don't cross documents, and are judged on the input. Ids are integers of any sign (TypeError for other types), below 2^63 - 1; a null id counts as
+    greater than all others; rows of equal ids don't remove each other's bytes. Null texts are empty: nothing is removed. Other columns aren't read.
     """
     if not 1 < gram <= length:
         raise ValueError("gram must be between 2 and length")
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type")
     spark = df.sparkSession
-    rows = rows_of(df, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text")
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a bucket is what a task holds at once
-    docs = cut(texts(rows, block_bytes))
+    docs = cut(texts(rows_of(df, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text"), block_bytes))
+    in_all = docs.agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-in_all // bucket_bytes))  # a bucket is what a task holds at once
     packed = "block string, bucket int, kind int, x binary, y binary"
     names = ["block", "bucket", "kind", "x", "y"]
 
@@ -261,11 +317,11 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         found, out = sorted_answers(answers), []
         for row in group.slice(0, 1).to_pylist():  # equal blocks ask once
             block = _Block(row, length, gram)
-            ((key, first, end, least), *_), ((one, two, least_w), *_) = block.contexts(totals(block, found), hot)
+            ((key, first, end, place, least), *_), ((one, two, least_w), *_) = block.contexts(totals(block, found), hot)
             edge = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edge)).tolist():
                 p = slice(edge[b], edge[b + 1])
-                head = np.stack([np.diff(key[p], prepend=U(0)), (end[p] - first[p]).astype(U), least[p].view(U)])
+                head = np.stack([np.diff(key[p], prepend=U(0)), (end[p] - first[p]).astype(U), place[p].astype(U), least[p].view(U)])
                 out.append((row["block"], b, CONTEXTS, pack(head.ravel()), pack(block.data[ranges(first[p], end[p] - first[p])].tobytes())))
             edge = np.searchsorted(bucket_of(one, buckets), np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edge)).tolist():
@@ -279,18 +335,20 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             block = _Block(row, length, gram)
             (_, where, first, last, doc), (_, where_w, start, doc_w) = block.contexts(totals(block, found), hot)
             got = found.get(CONTEXTS, {})
-            value = np.concatenate([np.zeros(0, np.int64), *(unpack(got[b][0], np.int64) for b in sorted(got))])
+            heads = [unpack(got[b][0], np.int64).reshape(2, -1) for b in sorted(got)]
+            value, mixed = np.concatenate([np.zeros((2, 0), np.int64), *heads], 1)
             more = np.concatenate([np.zeros(0, np.int64), *(unpack(got[b][1], np.int64) for b in sorted(got))])
-            n = np.where(value < 0, -1 - value, 0)
-            at = np.cumsum(n) - n
             edge = np.zeros(len(block.data) + 1, np.int64)
-            own = block.ids[doc]
-            whole = (value[where] >= 0) & (value[where] < own)
-            np.add.at(edge, first[whole], 1)
-            np.add.at(edge, last[whole] + length, -1)
-            part = np.flatnonzero(value[where] < 0)
-            w = ranges(at[where[part]], n[where[part]])
-            s = ranges(first[part], n[where[part]])[more[w] < np.repeat(own[part], n[where[part]])]
+            own, n = block.ids[doc], last - first + 1
+            mixed = mixed[where].astype(bool)
+            whole = ~mixed & (value[where] < own)
+            edge += np.bincount(first[whole], minlength=len(edge)) - np.bincount(last[whole] + length, minlength=len(edge))
+            part = np.flatnonzero(mixed)
+            of_context = np.zeros(len(value), np.int64)  # windows of each distinct context whose ids vary
+            of_context[where[part]] = n[part]
+            at = np.cumsum(of_context) - of_context
+            w = ranges(at[where[part]], n[part])
+            s = ranges(first[part], n[part])[more[w] < np.repeat(own[part], n[part])]
             got = found.get(WINDOWS, {})
             least = np.concatenate([np.zeros(0, np.int64), *(unpack(got[b][0], np.int64) for b in sorted(got))])
             s = np.concatenate([s, start[least[where_w] < block.ids[doc_w]]])
@@ -325,5 +383,5 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     schema = to_arrow_schema(StructType.fromDDL(fields))
     shared = cut(docs.mapInArrow(anchors_out, packed).groupBy("bucket").applyInArrow(_totals, packed))
     asked = shared.groupBy("block").cogroup(docs.groupBy("block")).applyInArrow(contexts_out, packed)
-    answered = asked.groupBy("bucket", "kind").applyInArrow(lambda group: _order(group, length), packed)
+    answered = asked.groupBy("bucket", "kind").applyInArrow(lambda group: _order(group, length, gram), packed)
     return shared.unionByName(answered).groupBy("block").cogroup(docs.groupBy("block")).applyInArrow(mark, fields).withColumnRenamed("id", id_col)

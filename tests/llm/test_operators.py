@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from mediagrove.llm import components, decontaminate, language_id, language_model, line_dedup, minhash, near_dedup, quality, substring_dedup, suffix_groups, telephony, token_counts, word_table  # noqa: E402
+from mediagrove.llm import anchors, components, decontaminate, language_id, language_model, line_dedup, minhash, near_dedup, quality, substring_dedup, suffix_groups, telephony, token_counts, word_table  # noqa: E402
 from mediagrove.llm.base import fold  # noqa: E402
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -400,6 +400,47 @@ def test_repeats(docs, empty, hot):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_repeats_ids(spark):
+    rows = [(-7, BASE), (5, BASE + " more"), (-9, sentence(9, 30) + BASE), (None, BASE), (0, ""), (5, BASE)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    same([(*r[:5], bytes(r.kept)) for r in substring_dedup.remove_repeats(df).drop("spans").collect()], plain_repeats(rows))
+    with pytest.raises(TypeError):
+        substring_dedup.remove_repeats(df.withColumn("doc_id", F.lit("a")))
+
+
+_AROUND = st.text("ab", max_size=5)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), _AROUND, _AROUND, st.integers(-9, 9)), min_size=1, max_size=60), st.sampled_from([0, 40, 10_000]))
+def test_lanes_split_to_any_size(contexts, limit):
+    length, gram = 8, 3
+    found = {}
+    for lane, left, right, i in contexts:  # each window of 8 bytes holds the gram, which stands once in a context
+        if len(left) + len(right) >= length - gram:
+            found[lane, left + "xyz" + right] = min(i, found.get((lane, left + "xyz" + right), 9))
+    if not found:
+        return
+    keys = sorted(found)
+    size = np.array([len(t) for _, t in keys])
+    data = np.frombuffer("".join(t for _, t in keys).encode(), np.uint8)
+    got = substring_dedup.least_ids(np.array([k for k, _ in keys]), data, np.cumsum(size) - size, size, np.array([t.index("x") for _, t in keys]), np.array([found[k] for k in keys]), length, gram, limit)
+    least = collections.defaultdict(lambda: 10)
+    shown = [(k, t[w : w + length], found[k, t]) for k, t in keys for w in range(len(t) - length + 1)]
+    for k, w, i in shown:
+        least[k, w] = min(least[k, w], i)
+    assert got.tolist() == [least[k, w] for k, w, _ in shown]
+
+
+def test_anchors_do_not_depend_on_runs():
+    data = np.frombuffer("".join(TEXTS[k] or "" for k in TEXTS).encode(), np.uint8)
+    ends = np.cumsum([0, *(len((t or "").encode()) for t in TEXTS.values())])
+    one, two = (anchors.Anchors(data, ends, chunk=c) for c in (1 << 20, 333))
+    for name in ("place", "first", "last", "key", "doc"):
+        assert getattr(one, name).tolist() == getattr(two, name).tolist()
+    assert int((one.last - one.first + 1).sum()) == int(np.maximum(np.diff(ends) - 49, 0).sum())
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), max_size=30), min_size=1, max_size=5))
 def test_suffix_arrays(lanes):
