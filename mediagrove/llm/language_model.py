@@ -8,8 +8,9 @@ arcs up to the first state with an arc, adds the weights, and moves to the longe
 
 Counts of all n-grams of the corpus don't fit in one machine, so each block of documents gathers just the states and arcs that
 its own texts can reach (see ``blocks``): it sends its distinct n-grams with their training counts, buckets add them up over
-the corpus, and totals come back. The block then walks its texts once, left to right, all in one vectorised pass: with a
-fixed order the state before a token is a function of the tokens before it, so no pass has to wait for another.
+the corpus, and totals come back. The block builds its automaton and reads its texts once, left to right: many texts in step,
+each carrying its state. A long text is read in segments of ``SEGMENT`` tokens, which begin in the state that the tokens
+before them lead to: a state holds ``order`` - 1 tokens at most, so reading these from the empty context gives it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .base import cut
 from .blocks import BLOCK_BYTES, blocks, bucket_of, opened, pack, rows_of, texts, unpack
 from .kernel import NOT_WHITE, U, Words, letters, mix
 
-ORDER, MASS = 2, 8.0
+ORDER, MASS, SEGMENT = 2, 8.0, 512
 _TABLE = letters(True)
 END, BEGIN = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 
@@ -62,6 +63,89 @@ def grams_of(tokens: Tokens, order: int):
     return out
 
 
+class Automaton:
+    """The states and arcs that the texts of a block can reach. State 0 is the empty context, which has an arc for every word.
+
+    ``totals``: by order, the training counts of the distinct n-grams of ``grams_of``.
+    """
+
+    def __init__(self, tokens: Tokens, grams: list, totals: list, order: int, mass: float, train_tokens: int, vocabulary: int, segment: int = SEGMENT):
+        m = len(tokens.doc)
+        place = np.arange(m) - np.repeat(tokens.first, tokens.count)
+        self.tokens, self.order, self.segment = tokens, order, max(segment, order)
+        at = [p[:m] for _, p in grams]  # the number of the n-gram that ends at a token, by order
+        self.word, self.words = at[0], len(grams[0][0])
+        self.base = np.log10((totals[0] + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))
+        begin = grams[0][1][m:][:1]
+        state, fail, leave, states = [], [np.zeros(1, np.int64)], [np.zeros(1)], 1
+        arcs, weights, nexts = [], [], []
+        log_p = self.base
+        token_of = None
+        for n in range(1, order):  # contexts of n tokens, arcs of n + 1
+            known = np.flatnonzero((totals[n - 1] > 0) & (grams[n - 1][0] != 0))
+            own = np.zeros(len(totals[n - 1]), np.int64)  # 0: no state
+            own[known] = states + np.arange(len(known))
+            states += len(known)
+            state.append(own)
+            fail.append(np.zeros(len(known), np.int64) if n == 1 else state[-2][at[n - 2][token_of[known]]])
+            leave.append(np.log10(mass / (totals[n - 1][known] + mass)))
+            token_of = np.empty(len(totals[n]), np.int64)  # a token at which each n-gram ends
+            token_of[at[n]] = np.arange(m)
+            seen = np.flatnonzero((totals[n] > 0) & (grams[n][0] != 0))
+            t = token_of[seen]
+            before = np.where(place[t] > 0, at[n - 1][t - 1], begin[0] if len(begin) else 0) if n == 1 else at[n - 1][t - 1]
+            p = np.log10((totals[n][seen] + mass * 10 ** log_p[at[n - 1][t]]) / (totals[n - 1][before] + mass))
+            log_p = np.zeros(len(totals[n]))
+            log_p[seen] = p
+            arcs.append(own[before] * self.words + self.word[t])
+            weights.append(p)
+            nexts.append((n, seen, at[n - 1][t]))
+        self.start = state[0][begin[0]] if state and len(begin) else 0
+        self.fail, self.leave = np.concatenate(fail), np.concatenate(leave)
+        to = [state[n][seen] if n < order - 1 else state[n - 1][low] for n, seen, low in nexts]
+        self.root = state[0] if state else np.zeros(self.words, np.int64)
+        self.arcs, self.weights, self.to = (np.concatenate([np.zeros(0, d), *x]) for x, d in ((arcs, np.int64), (weights, float), (to, np.int64)))
+        by = np.argsort(self.arcs, kind="stable")
+        self.arcs, self.weights, self.to = self.arcs[by], self.weights[by], self.to[by]
+
+    def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log10 probabilities of a word each in some states, and the states after it."""
+        weight, after, left = np.zeros(len(state)), np.empty(len(state), np.int64), np.arange(len(state))
+        while len(left):
+            key = state * self.words + word
+            at = np.minimum(np.searchsorted(self.arcs, key), max(0, len(self.arcs) - 1))
+            found = (self.arcs[at] == key) & (state > 0) if len(self.arcs) else np.zeros(len(left), bool)
+            weight[left[found]] += self.weights[at[found]]
+            after[left[found]] = self.to[at[found]]
+            root = state == 0
+            weight[left[root]] += self.base[word[root]]
+            after[left[root]] = self.root[word[root]]
+            on = ~found & ~root  # no arc: the failure arc to the shorter context
+            left, state, word = left[on], state[on], word[on]
+            weight[left] += self.leave[state]
+            state = self.fail[state]
+        return weight, after
+
+    def walk(self) -> np.ndarray:
+        """The weight of every token, read left to right."""
+        tokens, step = self.tokens, self.segment
+        n = -(-tokens.count // step)
+        doc = np.repeat(np.arange(len(n)), n)
+        rank = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        first = tokens.first[doc] + rank * step
+        size = np.minimum(step, tokens.first[doc] + tokens.count[doc] - first)
+        order = np.argsort(-size, kind="stable")
+        first, size, later = first[order], size[order], rank[order] > 0
+        state = np.where(later, 0, self.start)
+        for k in range(self.order - 1, 0, -1):  # segments inside a text: the state of the tokens before
+            state[later] = self.read(state[later], self.word[first[later] - k])[1]
+        out = np.empty(len(tokens.doc))
+        active = np.searchsorted(-size, -np.arange(size.max(initial=0)), "left")  # segments longer than each step
+        for k, a in enumerate(active.tolist()):
+            out[first[:a] + k], state[:a] = self.read(state[:a], self.word[first[:a] + k])
+        return out
+
+
 def score(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mass: float = MASS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row a document: ``id_col``, train (its flag), n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -123,23 +207,13 @@ def score(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
         for row in docs.to_pylist():
             data, ends = opened(row)
             tokens = Tokens(data, ends, order)
-            state = []
-            for n, (keys, place) in enumerate(grams_of(tokens, order)):
-                total = np.concatenate([unpack(found[n + 1][b], np.uint32) for b in sorted(found[n + 1])])
-                if len(total) != len(keys):
+            grams, totals = grams_of(tokens, order), []
+            for n, (keys, _) in enumerate(grams):
+                totals.append(np.concatenate([unpack(found[n + 1][b], np.uint32) for b in sorted(found[n + 1])]).astype(float))
+                if len(totals[-1]) != len(keys):
                     raise RuntimeError("a block was cut differently when it was read again")
-                state.append(total[place].astype(float))
-            m = len(tokens.doc)
-            seen, begin = state[0][:m], state[0][m:]
-            base = np.log10((seen + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))
-            weight, place = base, np.arange(m) - np.repeat(tokens.first, tokens.count)
-            for n in range(1, order):  # the failure chain from its end: contexts of n tokens, those that the text's start leaves
-                context = np.zeros(m)
-                context[1:] = state[n - 1][: m - 1]
-                context[tokens.first] = begin if n == 1 else 0
-                arc = np.log10((state[n] + mass * 10**weight) / (context + mass))
-                fail = np.log10(mass / (context + mass)) + weight
-                weight = np.where(place >= n - 1, np.where(state[n] > 0, arc, fail), weight)
+            machine = Automaton(tokens, grams, totals, order, mass, train_tokens, vocabulary)
+            seen, base, weight = totals[0][machine.word], machine.base[machine.word], machine.walk()
             add = lambda x: np.add.reduceat(x, tokens.first)  # noqa: E731  each document has its end token
             out.append(pa.table({
                 "id": pa.array(row["ids"], docs.schema.field("ids").type.value_type), "train": pa.array(unpack(row["flags"], np.uint8).astype(bool)),

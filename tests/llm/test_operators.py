@@ -109,8 +109,10 @@ def test_language_model(docs, empty):
     assert language_model.score(empty, F.lit(True)).count() == 0
 
 
-@pytest.mark.parametrize("order", [1, 3, 4])
-def test_language_model_order(docs, order):
+@pytest.mark.parametrize(("order", "segment"), [(1, 512), (3, 512), (4, 512), (3, 4), (2, 7)])
+def test_language_model_order(docs, order, segment, monkeypatch):
+    automaton = language_model.Automaton
+    monkeypatch.setattr(language_model, "Automaton", lambda *a: automaton(*a, segment=segment))
     learns = lambda r: zlib.crc32(str(r[0]).encode() if r[0] is not None else b"") % 10 != 0
     tokens = [["<s>", *WHITE.findall(low(text(r))), "</s>"] for r in ROWS]
     seen = collections.Counter(tuple(t[k - n : k]) for t, r in zip(tokens, ROWS, strict=True) if learns(r) for n in range(1, order + 1) for k in range(n, len(t) + 1))
