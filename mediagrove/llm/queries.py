@@ -23,7 +23,7 @@ def op3_word_table_bpe(spark, sf_dir):
 
 
 def op4_telephony_audio(spark, sf_dir):
-    return telephony.store_audio(table(spark, sf_dir, "documents"), keep_media=False)
+    return telephony.store_audio(table(spark, sf_dir, "documents"))
 
 
 def op5_line_dedup(spark, sf_dir):

@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import SLICE_BYTES, spread
+from .base import spread
 from .kernel import flat, slices
 
-UNIT, RATE, TO_RATE = 64, 8000, 16000
+UNIT, RATE, TO_RATE, OUT_BYTES, RUN = 64, 8000, 16000, 4 << 20, 1 << 18
 CODES = {"mulaw": 7, "alaw": 6, "adpcm": 0x11, "pcm": 1}
 NAMES = ("mulaw", "alaw", "adpcm")
 
@@ -132,10 +132,10 @@ def codec_of(payload: bytes) -> str:
 
 def describe(pcm: np.ndarray) -> str:
     """Samples, peak, root mean square in thousandths, sign changes: all from exact integers."""
-    x = pcm.astype(np.int64)
-    power = int((x * x).sum())
-    sign = x >= 0
-    return f"n={len(x)};peak={int(np.abs(x).max(initial=0))};rms={int(1000 * (power / max(1, len(x))) ** 0.5)};zc={int((sign[1:] != sign[:-1]).sum())}"
+    power = sum(int((part * part).sum()) for part in (pcm[k : k + RUN].astype(np.int64) for k in range(0, len(pcm), RUN)))
+    peak = max(int(pcm.max(initial=0)), -int(pcm.min(initial=0)))
+    sign = pcm >= 0
+    return f"n={len(pcm)};peak={peak};rms={int(1000 * (power / max(1, len(pcm))) ** 0.5)};zc={int((sign[1:] != sign[:-1]).sum())}"
 
 
 def store_audio(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", codec: str | None = None, to_rate: int = TO_RATE, keep_media: bool = True) -> DataFrame:
@@ -157,12 +157,13 @@ def store_audio(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         row = (len(text), len(payload), sha(payload), zlib.crc32(payload[-UNIT:]), len(media), sha(media), f"{stored};{describe(pcm)};pcm={sha(out.tobytes())}")
         return row + (media, wav("pcm", out.tobytes(), to_rate)) * keep_media
 
+    names = ["id", *(f.split()[0] for f in fields.split(", "))]
+
     def run(batches):
         for batch in batches:
             data, ends = flat(batch.column(1))
-            done = [()] * batch.num_rows
-            for a, b in slices(ends, SLICE_BYTES):
-                blocks, waiting = [], []
+            for a, b in slices(ends, OUT_BYTES // 8):  # a byte becomes up to eight
+                blocks, waiting, done = [], [], [()] * (b - a)
                 for k in range(a, b):
                     text = data[ends[k] : ends[k + 1]].tobytes()
                     payload = payload_of(text)
@@ -170,15 +171,15 @@ def store_audio(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                     stored, _, block, back = read_wav(media)
                     if stored == "adpcm":
                         blocks.append(np.frombuffer(back, np.uint8).reshape(-1, block))
-                        waiting.append((k, text, media, back))
+                        waiting.append((k - a, text, media, back))
                     else:
-                        done[k] = one(text, stored, media, expand(stored, block, back), back)
+                        done[k - a] = one(text, stored, media, expand(stored, block, back), back)
                 if blocks:
                     samples, at = decode_adpcm(np.concatenate(blocks)), 0
                     for x, (k, text, media, back) in zip(blocks, waiting, strict=True):
                         done[k] = one(text, "adpcm", media, samples[at : at + len(x)].ravel(), back)
                         at += len(x)
-            columns = list(zip(*done, strict=True)) if done else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in columns)], ["id", *(f.split()[0] for f in fields.split(", "))]) if done else batch.slice(0, 0)
+                columns = [pa.array(c) for c in zip(*done, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names)
 
     return rows.mapInArrow(run, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
