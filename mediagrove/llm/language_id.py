@@ -8,7 +8,7 @@ once: a row of a table. Scoring looks up, for each position, the row of the long
 seen, and adds one entry a language. The language of the shortest code wins.
 
 The trees are learned from whole texts of a bounded sample: ``per_lang`` training documents a language, those of the
-smallest hash of doc_id. The table is bounded by that sample and is what tasks receive.
+smallest hash of doc_id, and of these as many as ``per_bytes`` allow. The table is bounded by that sample and is what tasks receive.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .base import SLICE_BYTES, spread
 from .kernel import flat, slices
 
-ORDER, PER_LANG, CELLS = 3, 400, 1 << 24
+ORDER, PER_LANG, PER_BYTES, CELLS, SALTS = 3, 400, 4 << 20, 1 << 24, 64
 UNKNOWN = "und"
 _ASCII = np.zeros(256, bool)
 _ASCII[65:91] = _ASCII[97:123] = True
@@ -38,8 +38,8 @@ class Trees:
         self.code = np.zeros(256, np.int64)  # 0: never seen in training, and what stands before a text
         self.code[seen] = np.arange(1, seen.sum() + 1)
         size = self.size = int(seen.sum()) + 1
-        while order > 1 and size**order > CELLS:
-            order -= 1
+        if size**order > CELLS:
+            raise ValueError(f"contexts of {order} of {size} byte values need more than {CELLS} places")
         self.order = order
         count = [self._counts(texts[x], size, order) for x in self.langs]
         rows = np.zeros((1, len(self.langs), size))
@@ -119,16 +119,26 @@ class Trees:
         return np.where(letter, best, -1), np.where(letter, share, 0.0)
 
 
-def learn(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, order: int = ORDER) -> Trees:
-    """Trees of the training rows' languages, from ``per_lang`` whole texts a language."""
-    rows = df.where(train & df[text_col].isNotNull() & df[lang_col].isNotNull()).select(df[id_col].alias("i"), df[lang_col].cast("string").alias("l"), df[text_col].cast("string").alias("t"))
-    first = Window.partitionBy("l").orderBy(F.xxhash64("i"), F.col("i"))
-    pick = rows.select("i", "l", F.row_number().over(first).alias("n")).where(F.col("n") <= per_lang).select("i", "l").distinct().collect()
-    ids = sorted({r.i for r in pick if r.i is not None})
-    chosen = rows.where(F.col("i").isin(ids)).select("l", "t", F.row_number().over(first).alias("n")).where(F.col("n") <= per_lang).collect() if ids else []
+def learn(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, per_bytes: int = PER_BYTES, order: int = ORDER) -> Trees:
+    """Trees of the training rows' languages, from ``per_lang`` whole texts a language at most.
+
+    Rows without an id, a text or a language teach nothing. The texts are those of the least hashes of the id (ties: of the id, then of the
+    text), as long as all so far have ``per_bytes`` together. Rows that repeat an id are texts of their own. The choice is made in two steps, so a
+    language that holds most rows is never in one task.
+    """
+    usable = train & df[id_col].isNotNull() & df[text_col].isNotNull() & df[lang_col].isNotNull()
+    rows = df.where(usable).select(df[id_col].alias("i"), df[lang_col].cast("string").alias("l"), df[text_col].cast("string").alias("t"))
+    place = rows.select("i", "l", F.octet_length("t").cast("long").alias("n"), F.xxhash64("i").alias("h"), F.xxhash64("t").alias("ht"))
+    order_of = ["h", "i", "ht", "n"]
+    first = lambda *by: Window.partitionBy(*by).orderBy(*order_of)
+    few = place.withColumn("salt", F.pmod("h", F.lit(SALTS))).withColumn("k", F.row_number().over(first("l", "salt"))).where(F.col("k") <= per_lang)
+    few = few.withColumn("k", F.row_number().over(first("l"))).where(F.col("k") <= per_lang)
+    few = few.withColumn("sum", F.sum("n").over(first("l").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= per_bytes)
+    pick = few.groupBy("i", "l", "ht").agg(F.count(F.lit(1)).alias("times"))
+    chosen = rows.withColumn("ht", F.xxhash64("t")).join(F.broadcast(pick), ["i", "l", "ht"]).distinct().select("l", "t", "times").collect()
     texts: dict[str, list[bytes]] = {}
     for r in sorted(chosen):
-        texts.setdefault(r.l, []).append(r.t.encode())
+        texts.setdefault(r.l, []).extend([r.t.encode()] * r.times)
     return Trees(texts, order)
 
 
