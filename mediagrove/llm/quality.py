@@ -2,8 +2,8 @@
 
 1. Statistics: shares of byte classes, entropy, word and line figures of the whole text (``statistics``).
 2. Random Fourier features of the standardised statistics approximate a Gaussian kernel.
-3. Each partition sums its normal equations; the sums are added in two steps, so the driver gets at most
-   about the square root of the number of partitions, and solves a system of the fixed size ``features`` + 1.
+3. Each partition sums its normal equations (0.5 MB). Sums are added in a tree of ``FAN_IN`` a task, however many partitions there are,
+   until the driver gets ``FAN_IN`` at most, and solves a system of the fixed size ``features`` + 1.
 4. Training scores are counted in fixed bins; pool-adjacent-violators turns them into probabilities.
 All labelled training rows take part; no sample is drawn.
 """
@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import SLICE_BYTES, cut, spread
+from .base import SLICE_BYTES, cut, release, spread
 from .kernel import NOT_WHITE, Words, flat, letters, mix, slices
 
-FEATURES, RIDGE, BINS = 256, 1e-3, 2000
+FEATURES, RIDGE, BINS, FAN_IN = 256, 1e-3, 2000, 16
 _CLASSES = [b" ", b"\n", b"\t\r\x0b\x0c", bytes(range(97, 123)), bytes(range(65, 91)), bytes(range(48, 58)), b".", b",", b"!", b"?", b"|", b"*&%$#@^~", b"<>{}[]()/\\", b"-_=+", b"'\"`", b":;", bytes([*range(9), *range(14, 32), 127]), bytes(range(128, 192)), bytes(range(192, 256))]
 _MEMBER = np.zeros((256, len(_CLASSES)))
 for _k, _c in enumerate(_CLASSES):
@@ -112,9 +112,29 @@ def isotonic(weight: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for _, v, n in blocks]) if blocks else np.zeros(0)
 
 
+def _add(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = 0
+    for s in pdf["s"]:
+        total = total + np.frombuffer(s)
+    return pd.DataFrame({"s": [total.tobytes()], "k": [int(pdf["k"].iloc[0])]})
+
+
+def _added(parts: DataFrame, fan_in: int = FAN_IN) -> np.ndarray:
+    """The sum of the vectors ``s`` of (s, k: the partition's number), in a tree."""
+    most = parts.agg(F.max("k")).first()[0]
+    while most >= fan_in:
+        parts, last = cut(parts.withColumn("k", F.floor(F.col("k") / fan_in).cast("int")).groupBy("k").applyInPandas(_add, "s binary, k int")), parts
+        release(last)
+        most //= fan_in
+    return np.sum([np.frombuffer(r.s) for r in parts.select("s").collect()], 0)
+
+
 def fit(described: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", label_col: str = "quality", features: int = FEATURES, ridge: float = RIDGE) -> Model:
-    """Fits on all described rows in ``train`` that have a label 0 or 1 (of several labels of an id, the least)."""
-    known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("id")).agg(F.min(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("y"))
+    """Fits on all described rows in ``train`` that have a label 0 or 1 (of several labels of an id, the least). Other labels count as none.
+
+    Null ids are never labelled; without labelled rows, or in an empty table, every score is 0.5; rows of one id are examples of their own.
+    """
+    known = labels.where(labels[label_col].isin(0, 1) & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     rows = described.where(train).join(known, "id").select("x", "y")
     spark, d = described.sparkSession, len(NAMES)
     sums = rows.agg(*(f(F.col("x")[k].cast("double")).alias(f"{n}{k}") for k in range(d) for n, f in (("m", F.avg), ("s", F.stddev_pop))), F.count(F.lit(1)).alias("n")).first()
@@ -130,12 +150,8 @@ def fit(described: DataFrame, labels: DataFrame, train: Column, *, id_col: str =
             total[:, -1] += z.T @ y
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"s": [np.sum([np.frombuffer(s) for s in pdf["s"]], 0).tobytes()]})
-
-    groups = max(1, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    parts = rows.mapInArrow(equations, "s binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
-    got = np.sum([np.frombuffer(r.s) for r in parts.groupBy("g").applyInPandas(add, "s binary").collect()], 0).reshape(features + 1, features + 2)
+    parts = cut(rows.mapInArrow(equations, "s binary").withColumn("k", F.spark_partition_id()))
+    got = _added(parts).reshape(features + 1, features + 2)
     model.weights = np.linalg.solve(got[:, :-1] + ridge * max(1, sums["n"]) * np.eye(features + 1) / features, got[:, -1])
 
     def bins(batches):
@@ -176,7 +192,11 @@ def classify(df: DataFrame, labels: DataFrame, train, *, id_col: str = "doc_id",
 
 
 def keep_good(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows whose text scores 0.5 or more, with all their columns as they were."""
+    """The rows whose text scores 0.5 or more, with all their columns as they were.
+
+    Null and empty texts have the statistics of the empty text; very long ones are read whole; each of several equal rows is judged alike; ids
+    aren't read; an empty table stays empty.
+    """
 
     at = df.columns.index(text_col)
 

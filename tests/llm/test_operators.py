@@ -233,6 +233,19 @@ def test_line_dedup(spark, empty, few):
     assert line_dedup.drop_boilerplate(empty, F.col("source"), F.col("text")).count() == 0
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_line_dedup_sql_and_clashing_names(spark, few):
+    import duckdb
+
+    pages = [(k % 9, "http://A.b/x" if k % 4 else None, None if k % 8 == 7 else f"<p>menu</p>\n<b>line {k}</b>\n \nfoot{k % 5}", "a", "b") for k in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, __host string, __kept string")
+    out = line_dedup.drop_boilerplate(df, line_dedup.host_of(F.col("url")), line_dedup.page_text(F.col("html")), few=few)
+    assert {"__host", "__kept"} < set(out.columns) and out.where("__host != 'a' or __kept != 'b'").count() == 0
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [p[0] for p in pages], "url": pa.array([p[1] for p in pages], pa.string()), "html": pa.array([p[2] for p in pages], pa.string())}))
+    same(out.select("page_id", "host", "n_lines", "n_dropped", "text").collect(), con.execute(line_dedup.SQL).fetchall())
+
+
 # ---- 6 ---------------------------------------------------------------------------------------------------------------
 ALNUM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -331,6 +344,29 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(empty, trees).count() == 0
 
 
+def test_language_sample_and_score(spark):
+    langs = ["en", "de", None]
+    rows = [(k % 40 if k % 11 else None, f"{'the cat' if k % 3 else 'der hund'} {k % 50} " + "x" * (k % 7), langs[k % 3 if k % 3 != 1 else 0]) for k in range(200)] + [(3, None, "en"), (4, "the cat 4", "en"), (4, "the cat 4", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    hashed = df.select("doc_id", "text", "lang", F.xxhash64("doc_id"), F.xxhash64("text"), F.octet_length("text")).collect()
+    want = {}
+    for x in ("en", "de"):
+        usable = sorted((h, i, ht, n, t) for i, t, own, h, ht, n in hashed if own == x and i is not None and t is not None)[:20]
+        sums = itertools.accumulate(u[3] for u in usable)
+        want[x] = [u[4].encode() for u, total in zip(usable, sums, strict=True) if total <= 150]
+    assert 0 < len(want["en"]) < 20  # the bound on bytes is met
+    got, plain = language_id.learn(df, F.lit(True), per_lang=20, per_bytes=150), language_id.Trees({x: t for x, t in want.items() if t})
+    assert got.langs == plain.langs and (got.bits == plain.bits).all() and (got.rows == plain.rows).all()
+    texts = {x: sorted(t) for x, t in want.items()}
+    one = spark.createDataFrame([(1, "the hund 5")], "doc_id long, text string")
+    bits = {x: plain_bits(got, texts, x, b"the hund 5") for x in got.langs}
+    best = min(bits, key=bits.get)
+    (r,) = language_id.identify(one, got).collect()
+    assert r.lang_pred == best and r.score == pytest.approx(1 / sum(2 ** (bits[best] - b) for b in bits.values()), rel=1e-4)
+    with pytest.raises(ValueError):
+        language_id.Trees({"x": [bytes(range(256))]}, order=4)
+
+
 # ---- 8 ---------------------------------------------------------------------------------------------------------------
 def test_quality(spark, docs, empty):
     rows = [(k, sentence(k, 60) if k % 2 else "!! | $$$ " * 20 + str(k)) for k in range(200)]
@@ -344,6 +380,66 @@ def test_quality(spark, docs, empty):
     assert quality.classify(empty, labels, lambda c: F.lit(True)).count() == 0
 
 
+def test_statistics_by_hand():
+    value = "The cat  sat.\nOn | a mat\t!! cat cat"
+    (got,) = quality.statistics(np.frombuffer(value.encode(), np.uint8), np.array([0, len(value)]))
+    words, n = value.split(), len(value)
+    row = dict(zip(quality.NAMES, got, strict=True))
+    shares = collections.Counter(value)
+    assert row["class0"] == shares[" "] / n and row["class1"] == 1 / n and row["class3"] == sum(c.islower() for c in value) / n and row["class4"] == 2 / n
+    assert row["entropy"] == pytest.approx(-sum(c / n * math.log2(c / n) for c in shares.values()))
+    assert row["log_bytes"] == math.log1p(n) and row["log_words"] == math.log1p(len(words)) and row["word_len"] == pytest.approx(sum(map(len, words)) / len(words))
+    assert row["distinct"] == len(set(words)) / len(words) and row["top_word"] == 3 / len(words) and row["repeat"] == 1 / len(words) and row["long_words"] == 0
+    assert row["capital"] == 2 / len(words) and row["ends_in_mark"] == 3 / len(words) and row["one_letter"] == 2 / len(words) and row["line_len"] == math.log1p(n / 2)
+
+
+def test_features_approximate_a_kernel():
+    model = quality.Model(np.zeros(len(quality.NAMES)), np.ones(len(quality.NAMES)), 20_000)
+    x = np.random.default_rng(4).normal(size=(6, len(quality.NAMES)))
+    z = model.lift(x)[:, :-1]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / (2 * len(quality.NAMES)))
+    assert np.abs(z @ z.T - kernel).max() < 0.03
+
+
+@pytest.mark.parametrize("fan_in", [16, 2])
+def test_fit_by_normal_equations(spark, fan_in, monkeypatch):
+    added = quality._added
+    monkeypatch.setattr(quality, "_added", lambda parts: added(parts, fan_in))
+    rows = [(k, (sentence(k, 5 + k % 60) if k % 2 else "!! | $$$ " * (k % 20)) or None) for k in range(120)] + [(None, "x"), (7, "again"), (7, "again")]
+    labels = [(k, k % 2 if k % 10 else 1 - k % 2) for k in range(100)] + [(8, 1), (None, 1), (9, None), (110, 2), (111, -1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    table = spark.createDataFrame(labels, "doc_id long, quality int").coalesce(1)
+    model = quality.fit(quality.describe(df), table, fold("id", 3) != 1)
+    known = {}
+    for i, y in labels:
+        if i is not None and y in (0, 1):
+            known[i] = min(y, known.get(i, 1))
+    used = [(t or "", known[i]) for i, t in rows if i in known and zlib.crc32(str(i).encode()) % 3 != 1]
+    data = [t.encode() for t, _ in used]
+    x = quality.statistics(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])).astype(np.float32).astype(float)
+    y = np.array([v for _, v in used], float)
+    assert model.mean == pytest.approx(x.mean(0)) and model.sd == pytest.approx(np.where(x.std(0) > 1e-9, x.std(0), 1))
+    z = model.lift(x)
+    weights = np.linalg.solve(z.T @ z + quality.RIDGE * len(y) / quality.FEATURES * np.eye(z.shape[1]), z.T @ y)
+    assert z @ model.weights == pytest.approx(z @ weights, abs=1e-6)
+    k = np.clip(np.floor((z @ model.weights + 0.5) * quality.BINS / 2), 0, quality.BINS - 1)
+    bins = np.unique(k)
+    level = quality.isotonic(np.array([(k == b).sum() for b in bins], float), np.array([y[k == b].mean() for b in bins]))
+    assert model.level == pytest.approx(level) and (np.diff(model.level) >= 0).all()
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.classify(docs, labels, lambda c: fold(c, 3) != 1).join(labels, "doc_id").where(fold("doc_id", 3) == 1)
+    right, n = got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double")), F.count(F.lit(1))).first()
+    trees = language_id.learn(docs, fold("doc_id", 3) != 1)
+    lang = language_id.identify(docs, trees).join(docs.select("doc_id", "lang"), "doc_id").where(fold("doc_id", 3) == 1).where("lang is not null and lang_pred != 'und'")
+    right_lang, n_lang = lang.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double")), F.count(F.lit(1))).first()
+    print(f"held out: quality {right:.3f} of {n}, language {right_lang:.3f} of {n_lang}")
+    assert n > 50 and right > 0.85 and n_lang > 100 and right_lang > 0.95
+
+
 def test_isotonic():
     assert quality.isotonic(np.ones(5), np.array([0.1, 0.5, 0.3, 0.2, 0.9])).tolist() == pytest.approx([0.1, 1 / 3, 1 / 3, 1 / 3, 0.9])
 
