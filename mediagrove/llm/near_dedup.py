@@ -2,7 +2,8 @@
 
 1. Each document's set of distinct word shingles gives a digest, a signature and the keys of 32 bands of 4 bins. A pair of similarity 0.75
    shares no band with probability 0.684^32 = 5e-6; more similar pairs with less.
-2. Documents of equal sets are one node, their least id. Bands are counted by key with map-side combination; keys of one node end here.
+2. Documents of equal sets are one node, their least id, found and given back by digest and salt. Bands are counted by key with map-side combination;
+   keys of one node end here.
 3. Stars: in each bucket every node is compared with one centre (the node of the least hash of the round), so a bucket of n gives n - 1
    pairs. Pairs are confirmed on full sets and merged to components. Two rounds, with new centres for buckets that still mix components.
 4. What stars can't see: a link between two nodes of a mixed bucket neither of which was its centre. The nodes outside the centre's
@@ -18,16 +19,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import SLICE_BYTES, cut, spread
+from .base import SLICE_BYTES, cut, release, spread
 from .components import components
 from .kernel import U, flat, slices
 from .minhash import BANDS, ROWS, SHINGLE, band_keys, shingle_sets, signatures
 from .suffix_groups import ranges
 
-THRESHOLD, BLOCK, BINS, SLACK, SMALL = 75, 1024, 1024, 0.08, 320
+THRESHOLD, BLOCK, BINS, SLACK, SMALL, SALTS = 75, 1024, 1024, 0.08, 320, 64
 
 
 def _signed(rows: DataFrame, shingle: int) -> DataFrame:
@@ -36,22 +37,20 @@ def _signed(rows: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, ends = flat(batch.column(1))
-            size, digest, keys = [], [], []
+            size, digest, keys = [], [], [pa.array([], pa.list_(pa.int64()))]
             for a, b in slices(ends, SLICE_BYTES):
                 value, at = shingle_sets(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], shingle)
                 size.append(np.diff(at))
                 digest += [hashlib.blake2b(value[x:y].tobytes(), digest_size=16).digest() if y > x else None for x, y in zip(at[:-1], at[1:], strict=True)]
-                keys.append(band_keys(signatures(value, at, BANDS * ROWS), ROWS))
+                keys.append(_lists(value, at))
             n = np.concatenate([np.zeros(0, np.int64), *size])
-            every = np.concatenate([np.zeros((0, BANDS), U), *keys]).view(np.int64).ravel()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(every) + 1, BANDS, dtype=np.int32)), pa.array(every))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(digest, pa.binary()), lists], ["id", "n", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(digest, pa.binary()), pa.concat_arrays(keys)], ["id", "n", "digest", "keys"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, digest binary, keys array<long>")
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(id, shingles: 64-bit hashes in ascending order, sketch: 1024 bins of 8 bits) of each row."""
+    """(id, shingles: 64-bit hashes in ascending order, sketch: 1024 bins of 8 bits, keys of the bands) of each row."""
 
     def run(batches):
         for batch in batches:
@@ -60,11 +59,16 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
                 value, at = shingle_sets(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], shingle)
                 sketch = (signatures(value, at, BINS) & U(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([value[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                    ["id", "shingles", "sketch"],
+                    [batch.column(0).slice(a, b - a), pa.array([value[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary()), _lists(value, at)],
+                    ["id", "shingles", "sketch", "keys"],
                 )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, shingles binary, sketch binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, shingles binary, sketch binary, keys array<long>")
+
+
+def _lists(value: np.ndarray, at: np.ndarray) -> pa.Array:
+    every = band_keys(signatures(value, at, BANDS * ROWS), ROWS).view(np.int64).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(every) + 1, BANDS, dtype=np.int32)), pa.array(every))
 
 
 def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
@@ -141,27 +145,30 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind, arrow = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
-    signed = cut(_signed(rows, shingle))
-    real = signed.where("id is not null and n > 0")
-    equal = real.groupBy("digest").agg(F.min("id").alias("node"))
-    member = cut(real.select("id", "digest").join(equal, "digest").select("id", "node").distinct())
-    bands = real.join(equal, "digest").where("id = node").select("node", F.explode("keys").alias("key"))
+    signed = cut(_signed(rows, shingle).withColumn("digest", F.when(F.col("id").isNotNull(), F.col("digest"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")))
+    real = signed.where("digest is not null")
+    # a digest may hold a third of all rows: its least id is found, and given back, by digest and salt
+    equal = real.groupBy("digest", "salt").agg(F.min("id").alias("node"))
+    equal = cut(equal.withColumn("node", F.min("node").over(Window.partitionBy("digest"))))
+    bands = real.join(equal.select("digest", F.col("node").alias("id")), ["digest", "id"], "left_semi").select(F.col("id").alias("node"), F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
     buckets = cut(bands.join(shared, "key").distinct())
-    nodes = cut(buckets.select(F.col("node").alias("id")).distinct())
+    nodes = buckets.select(F.col("node").alias("id")).distinct()
     sets = cut(_sets(rows.join(nodes, "id", "left_semi"), shingle).where("length(shingles) > 0"))
-    links = member.select(F.col("id").alias("a"), F.col("node").alias("b"))  # and each id with itself
-    labels = nodes.select("id", F.col("id").alias("label"))
-    tested = None
+    again = real.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi").select("id")  # ids of several texts link them
+    again = real.select("id", "digest", "salt").join(again, "id").join(equal, ["digest", "salt"]).select("id", "node").distinct()
+    again = cut(again.withColumn("to", F.min("node").over(Window.partitionBy("id"))).select(F.col("node").alias("a"), F.col("to").alias("b")).where("a != b"))
+    found, tested, labels = again, None, None
 
     def labelled():
-        return buckets.join(labels.withColumnRenamed("id", "node"), "node")
+        if labels is None:
+            return buckets.withColumn("label", F.col("node"))
+        return buckets.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def centres(now, k):
         pick = now.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         return pick.where("lo != hi").select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("to"))
 
-    found = None
     for k in range(rounds):
         now = labelled()
         pairs = now.join(centres(now, k), "key").where("label != to").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
@@ -169,16 +176,16 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        good = cut(_confirm(pairs, sets, threshold))
-        found = good if found is None else found.unionByName(good)
-        labels = cut(components(found.unionByName(nodes.select(F.col("id").alias("a"), F.col("id").alias("b")))))
+        found = found.unionByName(cut(_confirm(pairs, sets, threshold)))
+        labels, last = cut(components(found)), labels
+        release(last)
     now = labelled()
     mixed = now.join(centres(now, rounds), "key").select("key", "node", "label", (F.col("label") != F.col("to")).alias("asks"))
     size = mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     at = F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))).alias("block")
     placed = mixed.join(size, "key").withColumn("home", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")).select("key", F.col("node").alias("id"), "label", "asks", "home", at)
     short = F.when(F.length("shingles") <= 8 * SMALL, F.col("shingles")).alias("small")
-    known = sets.select("id", "sketch", short).join(real.select("id", "keys"), "id")
+    known = sets.select("id", "sketch", short, "keys")
     ready = placed.join(known, "id").select("key", "id", F.xxhash64("label").alias("label"), "asks", (F.col("home") == F.col("block")).alias("lives"), "block", "sketch", "small", "keys")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
     kept_least = threshold / 100 - SLACK
@@ -189,12 +196,12 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         .where("a != b")
         .distinct()
     )
-    pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+    pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
     found = found.unionByName(cut(_confirm(pairs, sets, threshold)))
-    top = components(found.unionByName(links))
+    label = equal.join(components(found).withColumnRenamed("id", "node"), "node", "left").select("digest", "salt", F.coalesce("label", "node").alias("label"))
     return (
-        signed.select("id", "n")
-        .join(top, "id", "left")
+        signed.select("id", "n", "digest", "salt")
+        .join(label, ["digest", "salt"], "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
     )

@@ -482,6 +482,54 @@ def test_near_duplicate_chains(spark):
     same(got.collect(), plain_near(rows))
 
 
+def planted_pairs(size: int, similarity: float, n: int, seed: int):
+    """``n`` pairs of sets: a of ``size`` values, b of the same size or without some of them, of at least this similarity."""
+    rng = np.random.default_rng(seed)
+    for _ in range(n):
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        lost = int(len(a) * (1 - similarity) / 2 / ((1 + similarity) / 2))  # of each side, if both are of one size
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[: len(a) - lost]], rng.integers(0, 2**63, lost).astype(np.uint64)])) if lost else a[rng.permutation(len(a))[: math.ceil(similarity * len(a))]]
+        yield a, np.sort(b)
+
+
+@pytest.mark.parametrize("size", [4, 8, 20, 60, 200, 1000])
+@pytest.mark.parametrize("similarity", [0.75, 0.8])
+def test_recall_of_bands_and_estimates(size, similarity):
+    """Of planted pairs: those that share a band, and, for sets that aren't compared exactly, pass the estimate."""
+    sets = [x for p in planted_pairs(size, similarity, 2000 if size < 1000 else 500, size) for x in p]
+    at = np.cumsum([0, *map(len, sets)])
+    value = np.concatenate(sets)
+    keys = minhash.band_keys(minhash.signatures(value, at, minhash.BANDS * minhash.ROWS))
+    found = (keys[::2] == keys[1::2]).any(1)
+    if size > near_dedup.SMALL:
+        sketch = minhash.signatures(value, at, near_dedup.BINS).astype(np.uint8)
+        found &= (sketch[::2] == sketch[1::2]).mean(1) >= near_dedup.THRESHOLD / 100 - near_dedup.SLACK
+    real = np.array([100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2], strict=True)])
+    print(f"recall at {size} shingles, similarity {similarity}: {found[real].mean():.5f} of {real.sum()}")
+    assert real.all() and found[real].mean() >= 0.999
+
+
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    """Buckets of many blocks, sets that travel and sets that don't: all links that share a band are found."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "SMALL", 20)
+    rng = np.random.default_rng(6)
+    common = sentence(60, 25).split()  # a run that most documents share: similar enough to meet, not to be linked
+    rows = []
+    for k in range(90):
+        own = [f"w{rng.integers(0, 10**6)}" for _ in range(22 if k % 2 else 14)]
+        rows.append((2 * k, " ".join(common + own)))
+        own[int(rng.integers(0, 3))] = "changed"
+        rows.append((2 * k + 1, " ".join(common + own)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0)
+    same(got.collect(), plain_near(rows))
+
+
+def test_ids_of_several_texts(spark):
+    rows = [(1, BASE), (2, BASE), (2, sentence(70, 30)), (3, sentence(70, 30)), (4, sentence(70, 30)), (None, BASE), (5, None), (5, sentence(71, 9))]
+    same(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), plain_near(rows))
+
+
 def test_small_sets_are_compared_exactly():
     least, links = near_dedup.THRESHOLD / 100 - near_dedup.SLACK, 0
     for seed in range(200):  # 3 of 4 shingles: exactly 0.75, whatever the sketch says
