@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -26,6 +26,11 @@ def profile_games(games: DataFrame, holdings: DataFrame, profiles: DataFrame) ->
     )
 
 
+def ordered_games(games: DataFrame) -> DataFrame:
+    """Profile games with their place in the profile: by title in lower case, then by id. Sorted within profiles, not over all of them."""
+    return games.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.lower("title"), "game")))
+
+
 def profile_totals(games: DataFrame, holdings: DataFrame, profiles: DataFrame) -> DataFrame:
     own = profile_games(games, holdings, profiles).groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("a"))
     out = _declared(profiles).join(own, "key", "left")

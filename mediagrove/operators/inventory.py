@@ -100,11 +100,11 @@ def proposals(obs: DataFrame) -> DataFrame:
         F.when(hint.startswith("steam:"), "steam-appid").when(hint.startswith("playnite:"), "playnite-adapter").when(retro, "retro-filename-alias").otherwise("").alias("mapping_type"),
         F.when(retro, "proposal").otherwise("high").alias("confidence"),
         F.when(retro, "ROM stem is a mutable alias; content hash is required for release identity").otherwise("deterministic source convention").alias("reason"),
-    ).orderBy("canonical_id", "root_id", "path")
+    )
 
 
 def unmapped(obs: DataFrame) -> DataFrame:
-    return obs.where("identity_hint = ''").select("root_id", "path", F.lit("no deterministic identity in source path").alias("reason")).orderBy("root_id", "path")
+    return obs.where("identity_hint = ''").select("root_id", "path", F.lit("no deterministic identity in source path").alias("reason"))
 
 
 def overview(obs: DataFrame, found: DataFrame) -> DataFrame:
@@ -120,3 +120,16 @@ def sanitized_issues(found: DataFrame) -> DataFrame:
 
 def point_lookup(obs: DataFrame, observation_id: str | Column) -> DataFrame:
     return obs.where(F.col("observation_id") == observation_id).limit(1)
+
+
+def identity_view(obs: DataFrame) -> DataFrame:
+    """(id, mapped, identity_hint): every observation by its id, as a proposal or as unmapped."""
+    return obs.select(F.col("observation_id").alias("id"), (F.col("identity_hint") != "").alias("mapped"), "identity_hint")
+
+
+def rows_digest(rows: DataFrame) -> DataFrame:
+    """(n, digest) of a whole table: a digest of the digests of its rows by bucket, whatever the order of the rows; no task holds more than a 4096th of them."""
+    row = F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)
+    bucket = F.substring(row, 1, 3)
+    per = rows.select(bucket.alias("b"), row.alias("r")).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("r")), ""), 256).alias("d"))
+    return per.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.cuts import cut, release
 
+STEAM_PLUGIN = "cb91dfc9-b977-43bf-8e70-55f46e410fab"
+
 
 def resolve_aliases(aliases: DataFrame) -> DataFrame:
     """(identity, canonical, ambiguous) of (identity, canonical): canonical only where all statements agree."""
@@ -87,7 +91,55 @@ def library_aliases(games: DataFrame, steam_plugin: str) -> DataFrame:
 
 
 def merge(*parts: DataFrame) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
+    """The statements of several readings in one table, later ones after earlier ones: their sequence numbers become (part, seq)."""
+    numbered = [p.withColumn("seq", F.struct(F.lit(k).alias("part"), F.col("seq"))) for k, p in enumerate(parts)]
+    out = numbered[0]
+    for p in numbered[1:]:
         out = out.unionByName(p)
     return out
+
+
+@dataclass
+class Resolved:
+    titles: DataFrame
+    aliases: DataFrame
+    stores: DataFrame
+    diagnostics: DataFrame
+
+
+def resolve_all(said: DataFrame, steam_plugin: str = STEAM_PLUGIN) -> Resolved:
+    """Titles, aliases (with the ambiguous ones), stores and ordered diagnostics of ``said``, the statements of metadata files.
+
+    An app's title is that of the first source that names it: application info, manifests, shortcuts; files by seq, then by place. Game lists and
+    the library follow; of titles of one identity the best source's counts, then the first.
+    """
+    at = F.struct("seq", "place")
+    rank = F.when(F.col("source") == "steam-appinfo", 0).when(F.col("source") == "steam-manifest", 1).otherwise(2)
+    apps = said.where("what = 'app' and trim(text) != ''").groupBy("id").agg(F.min_by(F.struct("text", "source"), F.struct(rank, at)).alias("t"))
+    apps = apps.select(F.lit(None).cast(said.select(at.alias("s")).schema["s"].dataType).alias("seq"), F.concat(F.lit("steam:"), "id").alias("identity"), F.col("t.text").alias("title"), F.col("t.source").alias("source"))
+    games = said.where("what = 'game'").withColumn("identity", F.concat(F.lit("playnite:"), F.lower("id")))
+    named = games.select(at.alias("seq"), "identity", F.col("text").alias("title"), "source")
+    roms = said.where("what = 'rom'").select(at.alias("seq"), F.regexp_replace("source", "^esde:", "").alias("system"), F.col("id").alias("raw_stem"), F.col("text").alias("name"))
+    listed = gamelist_titles(roms).select(F.lit(None).cast(apps.schema["seq"].dataType).alias("seq"), "identity", "title", F.lit("esde-gamelist").alias("source"))
+    titles = resolve_titles(merge(apps, named, listed))
+    stores = resolve_stores(games.select(at.alias("seq"), "identity", S.store_name(F.col("plugin"), steam_plugin).alias("store")))
+    own = library_aliases(games.select(F.col("id").alias("guid"), F.trim("plugin").alias("plugin"), F.trim("game_id").alias("game_id")), steam_plugin)
+    aliases = resolve_aliases(own)
+
+    def say(rows: DataFrame, source, status: str, message: str) -> DataFrame:
+        return rows.select(source.alias("source"), F.lit(status).alias("status"), F.lit(message).alias("message"))
+
+    system = F.concat(F.lit("esde:"), "system")
+    first = roms.groupBy("system", "raw_stem").agg(F.min_by("name", "seq").alias("first"))
+    conflicts = roms.join(first, ["system", "raw_stem"]).where("name != first")
+    alike = first.groupBy("system", S.slug(F.col("raw_stem")).alias("base")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    notes = [
+        said.where("what = 'diagnostic'").select("source", F.col("id").alias("status"), F.col("text").alias("message")),
+        say(conflicts, system, "needs-attention", "Conflicting ES-DE names were kept separate."),
+        say(alike, system, "needs-attention", "Similar ROM file names were kept as separate games."),
+        say(aliases.where("ambiguous"), F.lit("identity"), "needs-attention", "Conflicting exact identities were kept separate."),
+    ]
+    diagnostics = notes[0]
+    for n in notes[1:]:
+        diagnostics = diagnostics.unionByName(n)
+    return Resolved(titles, aliases, stores, diagnostics)

@@ -58,7 +58,7 @@ def impact(resolved: DataFrame) -> DataFrame:
 
 
 def import_plan(resolved: DataFrame) -> DataFrame:
-    """One planned action a file, in plan order. ``unsafe`` says why a row would make the whole plan fail."""
+    """One planned action a file (``orders``: "import plan"). ``unsafe`` says why a row would make the whole plan fail."""
     mode, ext = F.col("mode"), F.col("extension")
     to_catalog = mode.isin("managed", "quarantined")
     unsafe = (
@@ -74,7 +74,7 @@ def import_plan(resolved: DataFrame) -> DataFrame:
         F.when(mode == "managed", "policy resolves asset to managed canonical storage").when(mode == "tracked-external", "asset remains tracked at its external source")
         .when(mode == "promote-on-approval", "asset promotion requires separate explicit approval").when(mode == "quarantined", "policy requires quarantine").alias("reason"),
         "identity_hint", "role", "system", unsafe.alias("unsafe"),
-    ).orderBy("destination_root", "destination_path", "source_root", "source_path")
+    )
 
 
 def invalid_rules(rules: DataFrame) -> DataFrame:

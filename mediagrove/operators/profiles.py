@@ -52,7 +52,7 @@ def bundle_plan(resolved: DataFrame, revisions: DataFrame) -> DataFrame:
         F.when(F.col("available"), "materialize retained profile bundle asset").otherwise("canonical asset is unavailable; promotion is required before bundle build").alias("reason"),
     )
     lock = revisions.select("profile", F.lit("render").alias("action"), F.lit("").alias("source_path"), F.concat(base, F.lit("/bundle.lock.json")).alias("destination_path"), F.lit("write deterministic bundle lock after all assets verify").alias("reason"))
-    return copy.unionByName(lock).orderBy("profile", "destination_path", "source_path")
+    return copy.unionByName(lock)
 
 
 def destination(adapter: str, profile_id: Column) -> tuple[Column, Column]:
@@ -93,4 +93,4 @@ def export_plan(adapter: str, selected: DataFrame) -> DataFrame:
         extra = lambda p: every.select("profile", F.lit("render").alias("action"), F.lit("").alias("source_path"), F.lit("").alias("sha256"), p.alias("destination_path"), F.lit("").alias("game_id"), F.lit("").alias("role"), F.lit("").alias("problem"))
         marker = extra(F.concat(F.lit("artwork/"), pid, F.lit("/grid/" + S.MARKER))).join(rows.select("profile").distinct(), "profile", "left_anti")
         out = out.unionByName(extra(F.concat(F.lit("profiles/"), pid, F.lit(".json")))).unionByName(marker)
-    return out.orderBy("profile", "destination_path", "source_path")
+    return out

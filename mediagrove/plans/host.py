@@ -10,6 +10,7 @@ import json
 import os
 import shutil
 import tempfile
+import threading
 
 from ..functions.udf import digest
 
@@ -178,3 +179,76 @@ class Publisher:
         log["state"] = "rolled-back"
         write_json(at, log)
         return log
+
+
+def well_known_places(home: str, environ: dict[str, str], windows: bool) -> list[tuple]:
+    """(seq, id, kind, name, path, is_dir, file_key) of the places where frontends keep artwork, for ``detect.detect``."""
+    found = []
+    join = os.path.join
+
+    def add(name: str, kind: str, shown: str, path: str) -> None:
+        path = os.path.normpath(path)
+        key = ""
+        if os.path.isdir(path):
+            stat = os.stat(path)
+            key = f"{stat.st_dev}:{stat.st_ino}"
+        found.append((len(found), name, kind, shown, path, bool(key), key))
+
+    def accounts(folder: str) -> None:
+        names = sorted(os.listdir(folder)) if os.path.isdir(folder) else []
+        for account in names:
+            if account.isascii() and account.isdigit() and os.path.isdir(join(folder, account)):
+                add(f"steam-{account}", "steam-grid", f"Steam custom artwork - account {account}", join(folder, account, "config", "grid"))
+
+    if windows:
+        programs = environ.get("ProgramFiles(x86)") or environ.get("ProgramFiles")
+        if programs:
+            accounts(join(programs, "Steam", "userdata"))
+        if environ.get("APPDATA"):
+            add("playnite-library", "playnite-library", "Playnite library", join(environ["APPDATA"], "Playnite", "library", "files"))
+            add("playnite-extra", "playnite-extra", "Playnite ExtraMetadata", join(environ["APPDATA"], "Playnite", "ExtraMetadata"))
+    else:
+        accounts(join(home, ".local", "share", "Steam", "userdata"))
+        accounts(join(home, ".steam", "steam", "userdata"))
+        add("retrodeck-media", "esde-media", "RetroDECK / ES-DE artwork", join(home, "retrodeck", "ES-DE", "downloaded_media"))
+    add("gaming-profiles-syncthing", "decky-catalog", "Deck Gaming Profiles", join(home, "Syncthing", "GamingProfiles"))
+    add("gaming-profiles-home", "decky-catalog", "Deck Gaming Profiles", join(home, "GamingProfiles"))
+    return found
+
+
+def count_files(folder: str, most: int = 10_000) -> int:
+    """Regular files below a folder, up to ``most``; what can't be read doesn't count."""
+    n = 0
+    for at, _, names in os.walk(folder):
+        for name in names:
+            path = os.path.join(at, name)
+            n += os.path.isfile(path) and not os.path.islink(path)
+            if n >= most:
+                return n
+    return n
+
+
+class SingleFlight:
+    """One refresh at a time, and only when the fingerprint has changed: while one runs, the value of another fingerprint is withheld."""
+
+    def __init__(self):
+        self._lock, self._running, self._print, self._value = threading.Lock(), False, None, None
+
+    def get(self, fingerprint: str):
+        with self._lock:
+            return self._value if fingerprint == self._print else None
+
+    def refresh(self, fingerprint: str, make) -> bool:
+        """Whether this call did the refresh: not if it wasn't needed, or if another is under way."""
+        with self._lock:
+            if self._running or fingerprint == self._print:
+                return False
+            self._running = True
+        try:
+            value = make()
+            with self._lock:
+                self._print, self._value = fingerprint, value
+            return True
+        finally:
+            with self._lock:
+                self._running = False

@@ -6,6 +6,9 @@ library is a paged document database whose documents are BSON.
 
 from __future__ import annotations
 
+import ntpath
+import posixpath
+import re
 import struct
 import uuid
 import xml.parsers.expat
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.functions import udtf
 
 MAX_DEPTH, MAX_NODES, MAX_ENTRIES, MAX_TEXT = 64, 500_000, 50_000, 8192
+MAX_STRING, MAX_TEXT_NODES = 1 << 20, 1_000_000
 
 
 class Damaged(ValueError):
@@ -132,83 +136,87 @@ def shortcuts(data: bytes) -> tuple[dict[int, str], int]:
 
 
 # ---- text key-value trees ------------------------------------------------------------------------------------------
-_ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", '"': '"'}
-
-
-def _tokens(text: str) -> Iterator[tuple[str, str]]:
-    at, n = 0, len(text)
-    while at < n:
-        c = text[at]
-        if c.isspace():
-            at += 1
-        elif text.startswith("//", at):
-            at = text.find("\n", at)
-            at = n if at < 0 else at
-        elif c in "{}":
-            yield c, c
-            at += 1
-        elif c == '"':
-            out, at = [], at + 1
-            while True:
-                if at >= n:
-                    raise Damaged("open quotes")
-                if text[at] == '"':
-                    break
-                if text[at] == "\\" and at + 1 < n:
-                    out.append(_ESCAPES.get(text[at + 1], "\\" + text[at + 1]))
-                    at += 2
-                else:
-                    out.append(text[at])
-                    at += 1
-            yield "text", "".join(out)
-            at += 1
-        else:
-            stop = at
-            while stop < n and not text[stop].isspace() and text[stop] not in '{}"':
-                stop += 1
-            yield "text", text[at:stop]
-            at = stop
+#: White space, a comment, a brace, quoted text or bare text; a lone slash and open quotes match nothing.
+_TOKEN = re.compile(rb'''[ \t\r\n]+|//[^\n]*|(?P<brace>[{}])|"(?P<quoted>(?:[^"\\]|\\.)*)"|(?P<bare>[^ \t\r\n{}"/][^ \t\r\n{}]*)''', re.S)
+_ESCAPE = re.compile(rb"\\(.)", re.S)
+_NAMED = {b"n": b"\n", b"r": b"\r", b"t": b"\t"}
+
+
+def _tokens(data: bytes) -> Iterator[tuple[str, str]]:
+    """('{' or '}', '') and ('text', value). An escape stands for a line end, a return, a tab, or else for its own character."""
+    at = 0
+    while at < len(data):
+        found = _TOKEN.match(data, at)
+        if not found:
+            raise Damaged("unexpected character or open quotes")
+        at = found.end()
+        kind = found.lastgroup
+        if kind == "brace":
+            yield found["brace"].decode(), ""
+        elif kind:
+            raw = found[kind] if kind == "bare" else _ESCAPE.sub(lambda m: _NAMED.get(m[1], m[1]), found[kind])
+            if len(raw) > MAX_STRING:
+                raise Damaged("text too long")
+            try:
+                yield "text", raw.decode()
+            except UnicodeDecodeError as e:
+                raise Damaged("not UTF-8") from e
 
 
 def text_tree(data: bytes) -> list[tuple[str, object]]:
+    """(key, value) pairs; an object's value is the list of its pairs."""
     stack: list[list] = [[]]
     key, nodes = None, 0
-    for kind, value in _tokens(data.decode("utf-8", "replace")):
-        nodes += 1
-        if nodes > MAX_NODES or len(stack) > MAX_DEPTH:
-            raise Damaged("too large")
-        if kind == "{":
-            if key is None:
-                raise Damaged("object without a name")
-            stack[-1].append((key, []))
-            stack.append(stack[-1][-1][1])
-            key = None
-        elif kind == "}":
+    for kind, value in _tokens(data):
+        if kind == "}":
             if len(stack) == 1 or key is not None:
                 raise Damaged("unbalanced")
             stack.pop()
-        elif key is None:
+            continue
+        if key is None:
+            if kind != "text":
+                raise Damaged("object without a name")
             key = value
-        else:
-            stack[-1].append((key, value))
-            key = None
+            continue
+        nodes += 1
+        stack[-1].append((key, [] if kind == "{" else value))
+        if kind == "{":
+            stack.append(stack[-1][-1][1])
+        if nodes > MAX_TEXT_NODES or len(stack) > MAX_DEPTH + 1:
+            raise Damaged("too large")
+        key = None
     if len(stack) != 1 or key is not None:
         raise Damaged("cut short")
     return stack[0]
 
 
+def _named(pairs, name: str) -> Iterator:
+    return (v for k, v in pairs if k.lower() == name)
+
+
+def folder_path(value: str) -> str | None:
+    """A library folder in its shortest form; None unless it is absolute and takes no step upwards."""
+    value = value.strip()
+    if not value or ".." in re.split(r"[/\\]", value):
+        return None
+    if value.startswith("/"):
+        return "/" + posixpath.normpath(value).lstrip("/")
+    return ntpath.normpath(value) if re.match(r"[A-Za-z]:[/\\]", value) else None
+
+
 def library_folders(data: bytes) -> list[str]:
-    """Absolute folders without steps upwards."""
-    root = child(text_tree(data), "libraryfolders") or []
-    paths = [child(v, "path") if isinstance(v, list) else v for k, v in root if k.isdigit()]
-    absolute = lambda p: p.startswith("/") or (len(p) > 2 and p[1] == ":" and p[2] in "\\/")
-    return [p for p in paths if isinstance(p, str) and absolute(p) and ".." not in p.replace("\\", "/").split("/")]
+    """The folders of all library lists, each once; entries are folders or objects with a path, names in any case."""
+    entries = [v for own in _named(text_tree(data), "libraryfolders") if isinstance(own, list) for _, v in own]
+    stated = [p for v in entries for p in ([v] if isinstance(v, str) else _named(v, "path")) if isinstance(p, str)]
+    return list(dict.fromkeys(filter(None, map(folder_path, stated))))
 
 
 def app_manifest(data: bytes) -> tuple[int, str] | None:
-    tree = text_tree(data)
-    app, name = child(tree, "AppState", "appid"), child(tree, "AppState", "name")
-    return (int(app), name.strip()) if isinstance(app, str) and app.isdigit() and 0 < int(app) < 2**32 and isinstance(name, str) and name.strip() else None
+    """(app id, name) of the first state; of fields that repeat the last counts."""
+    own = next(_named(text_tree(data), "appstate"), None)
+    last = lambda name: next(iter([v for v in _named(own, name) if isinstance(v, str)][-1:]), "").strip()
+    app, name = (last("appid"), last("name")) if isinstance(own, list) else ("", "")
+    return (int(app), name) if re.fullmatch("[0-9]+", app) and int(app) < 2**32 and name else None
 
 
 # ---- game lists ----------------------------------------------------------------------------------------------------

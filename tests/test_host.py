@@ -3,6 +3,7 @@ import os
 import pytest
 
 from mediagrove.functions import udf
+from mediagrove.operators import detect
 from mediagrove.plans import host
 
 
@@ -70,3 +71,34 @@ def test_publish_and_roll_back(tmp_path):
         p.publish("r2", files)
     assert p.rollback("r1")["state"] == "rolled-back"
     assert (target / "old").read_text() == "old" and not (target / "d/x").exists()
+
+
+def test_well_known_places(tmp_path, spark):
+    home = tmp_path / "home"
+    grid = home / ".local/share/Steam/userdata/42/config/grid"
+    grid.mkdir(parents=True)
+    (home / ".local/share/Steam/userdata/name").mkdir()
+    (home / ".steam").mkdir()
+    (home / ".steam/steam").symlink_to(home / ".local/share/Steam")  # the same folder by another way
+    (home / "GamingProfiles").mkdir()
+    for k in range(3):
+        (grid / f"{k}.png").write_text("x")
+    (grid / "link.png").symlink_to(grid / "0.png")
+    rows = host.well_known_places(str(home), {}, False)
+    assert [r[1] for r in rows] == ["steam-42", "steam-42", "retrodeck-media", "gaming-profiles-syncthing", "gaming-profiles-home"]
+    assert [r[5] for r in rows] == [True, True, False, False, True] and rows[0][6] == rows[1][6]
+    places = spark.createDataFrame(rows, "seq int, id string, kind string, name string, path string, is_dir boolean, file_key string")
+    files = spark.createDataFrame([(r[4], host.count_files(r[4])) for r in rows], "path string, n int")
+    roots = spark.createDataFrame([(str(grid),)], "path string")
+    got = sorted((r.id, r["items"], r.status) for r in detect.detect(places, files, roots).collect())
+    assert got == [("gaming-profiles-home", 0, "detected"), ("steam-42", 3, "connected")]
+    assert host.count_files(str(grid), 2) == 2
+    assert [r[1] for r in host.well_known_places("/none", {"ProgramFiles": "/none", "APPDATA": "/none"}, True)][:2] == ["playnite-library", "playnite-extra"]
+
+
+def test_single_flight():
+    flight = host.SingleFlight()
+    assert flight.refresh("a", lambda: 1) and flight.get("a") == 1 and flight.get("b") is None
+    assert not flight.refresh("a", lambda: 2)
+    assert flight.refresh("b", lambda: flight.refresh("c", lambda: 3)) and flight.get("b") is False  # a second one meets the first
+    assert flight.get("a") is None

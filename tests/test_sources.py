@@ -53,10 +53,14 @@ def test_shortcuts():
 
 def test_text_trees():
     data = b'"libraryfolders" { // note\n "0" { "path" "/games" } "1" { "path" "C:\\\\Games" } "2" { "path" "relative" } "3" { "path" "/a/../b" } "x" { "path" "/no" } }'
-    assert formats.library_folders(data) == ["/games", "C:\\Games"]
+    assert formats.library_folders(data) == ["/games", "C:\\Games", "/no"]  # entries may have any name
+    assert formats.library_folders(b'LibraryFolders { 0 "/a//b/./c/" 1 { PATH " /a/b/c " path "/d" } 2 "" } LIBRARYFOLDERS { 0 "/e" }') == ["/a/b/c", "/d", "/e"]
     assert formats.app_manifest(b'"AppState" { "appid" "7" "name" " Seven " }') == (7, "Seven")
-    assert formats.app_manifest(b'"AppState" { "appid" "0" "name" "x" }') is None
-    for bad in (b'"a" {', b'"a', b"}", b'"a"'):
+    assert formats.app_manifest(b'appstate { AppID 7 "appid" " 8 " "name" "x" NAME " y " } appstate { appid 9 name z }') == (8, "y")
+    assert formats.app_manifest(b'"AppState" { "appid" "4294967296" "name" "x" }') is None and formats.app_manifest(b'"AppState" { "appid" "1" "name" " " }') is None
+    assert formats.text_tree(rb'''"a\n\r\t\q\\" b"c // whole
+      "k" { } // end''') == [("a\n\r\tq\\", 'b"c'), ("k", [])]
+    for bad in (b'"a" {', b'"a', b"}", b'"a"', b"a / b", b"/", b'"a\\', b"a { b }", b"{ }", b"a { { } }", b"a b }", b'a "\xff"', b"a { " * 66 + b"} " * 66, b'a "' + b"x" * ((1 << 20) + 1) + b'"'):
         with pytest.raises(formats.Damaged):
             formats.text_tree(bad)
 
