@@ -123,6 +123,5 @@ def ts1_incremental_scan(spark, sf_dir):
     facts = scan.read(spark, f"{sf_dir}/events*.parquet", schema).select(F.col("event_type").alias("root_id"), F.col("user_id").alias("size"))
 
     path = new_path(spark)
-    name = f"incremental_scan_{path[-32:]}"
-    scan.run_to_memory(scan.summaries(facts), name, path)
-    return spark.table(name)
+    scan.run_versions(scan.summaries(facts), f"{path}/totals", 1, f"{path}/checkpoint")
+    return scan.current(spark, f"{path}/totals")

@@ -1,6 +1,7 @@
 """Incremental scans as Structured Streaming: each batch of file facts updates the summaries of its roots.
 
-Counts are kept by the stream's state (complete mode). ``Fence`` holds off a stale scan within one driver; its generation isn't stored.
+Counts are kept by the stream's state (complete mode). Each scan is a generation: its batches are written to folders of its own, and
+readers take the last batch of the newest generation, so a stale scan overwrites nothing, in any driver. ``Fence`` does the same within one.
 """
 
 from __future__ import annotations
@@ -26,6 +27,24 @@ def run_to_memory(frame: DataFrame, name: str, checkpoint: str, mode: str = "com
     return query
 
 
+def run_versions(frame: DataFrame, path: str, generation: int, checkpoint: str) -> StreamingQuery:
+    """Runs ``frame`` to its end and writes the totals after each batch as a version. A batch that is repeated writes the same folder again."""
+
+    def put(totals: DataFrame, batch: int) -> None:
+        totals.write.mode("overwrite").parquet(f"{path.rstrip('/')}/generation={generation}/batch={batch}")
+
+    query = frame.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The totals of the newest generation's last batch."""
+    every = spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/generation=*/batch=*")
+    newest = every.agg(F.max(F.struct("generation", "batch")).alias("v")).select("v.*")
+    return every.join(F.broadcast(newest), ["generation", "batch"], "left_semi").drop("generation", "batch")
+
+
 class Fence:
     """Accepts results of the newest generation only."""
 

@@ -163,3 +163,18 @@ def test_fencing_and_failures(spark):
     stale = fence.begin()
     fence.begin()
     assert not fence.put(stale, None)
+
+
+def test_versions_of_totals(spark, tmp_path):
+    facts = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "root_id string, size int")
+    facts.write.parquet(str(tmp_path / "facts"))
+    path = str(tmp_path / "totals")
+
+    def run(generation, only):
+        frame = scan.summaries(scan.read(spark, str(tmp_path / "facts"), facts.schema).where(only))
+        scan.run_versions(frame, path, generation, str(tmp_path / f"checkpoint{generation}"))
+        return sorted(map(tuple, scan.current(spark, path).collect()))
+
+    assert run(2, "true") == [("a", 2, 3), ("b", 1, 3)]
+    assert run(1, "root_id = 'a'") == [("a", 2, 3), ("b", 1, 3)]  # a stale scan that ends later
+    assert run(3, "root_id = 'b'") == [("b", 1, 3)]
