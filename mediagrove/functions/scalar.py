@@ -247,3 +247,10 @@ def safe_relative_path(value: Column) -> Column:
 
 def sha256_text(value: Column) -> Column:
     return value.rlike(r"^[0-9a-f]{64}\z")
+
+
+def guid_text(raw: Column) -> Column:
+    """The text of a 16-byte GUID whose first three fields are little-endian; null for other lengths."""
+    h = F.lower(F.hex(raw))
+    at = lambda *places: F.concat(*(F.substring(h, 2 * k + 1, 2) for k in places))
+    return F.when(F.octet_length(raw) == 16, F.concat_ws("-", at(3, 2, 1, 0), at(5, 4), at(7, 6), F.substring(h, 17, 4), F.substring(h, 21, 12)))

@@ -1,4 +1,4 @@
-"""What built-in functions can't express: Go's %.2f, canonical JSON, mixed-endian GUIDs, lexical path cleaning, sniffing."""
+"""What built-in functions can't express: a ratio with two decimals, canonical JSON, lexical path cleaning, sniffing."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import hashlib
 import json
 import posixpath
 import struct
-import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -31,12 +30,6 @@ def digest(value) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
-@F.pandas_udf(StringType())
-def guid(raw: pd.Series) -> pd.Series:
-    """The text of a 16-byte GUID whose first three fields are little-endian."""
-    return pd.Series([str(uuid.UUID(bytes_le=bytes(x))) if x is not None and len(x) == 16 else None for x in raw])
-
-
 def clean_path(path: str) -> str:
     """Lexical cleaning: single slashes, no '.' and no inner '..'; '.' for nothing."""
     out = posixpath.normpath(path) if path else "."

@@ -78,9 +78,14 @@ def history(records: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """(root_id, fingerprint): a digest over the sorted path, size and time of a root's files, from digests of single files."""
+    """(root_id, fingerprint): a digest of the paths, sizes and times of a root's files, whatever their order.
+
+    Digests of single files are sorted and digested by their first three digits, then these digests: no task holds all files of a root.
+    """
     one = F.sha2(F.concat_ws("\u0000", "path", F.col("size").cast("string"), F.col("mtime").cast("string")), 256)
-    return files.groupBy("root_id").agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list(one))), 256).alias("fingerprint"))
+    part = files.select("root_id", one.alias("h")).groupBy("root_id", F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256).alias("d"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])
+    return part.groupBy("root_id").agg(F.sha2(F.concat_ws("", parts), 256).alias("fingerprint"))
 
 
 def progress(states: DataFrame) -> DataFrame:

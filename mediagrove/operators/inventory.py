@@ -65,12 +65,13 @@ def histograms(obs: DataFrame, column: str) -> DataFrame:
 
 
 def duplicate_groups(obs: DataFrame) -> DataFrame:
-    """A row a repeated content: size, copies, roots, occurrences (root, path) in order."""
-    return (
-        obs.groupBy("sha256")
-        .agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("copies"), F.count_distinct("root_id").alias("roots"), F.sort_array(F.collect_list(F.struct("root_id", "path"))).alias("occurrences"))
-        .where("copies > 1")
-    )
+    """(sha256, size, copies, roots) of each repeated content."""
+    return obs.groupBy("sha256").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("copies"), F.count_distinct("root_id").alias("roots")).where("copies > 1")
+
+
+def duplicate_occurrences(obs: DataFrame) -> DataFrame:
+    """A row an occurrence of a repeated content, with the content's figures: however many copies there are, no row holds them all."""
+    return obs.select("sha256", "root_id", "path").join(duplicate_groups(obs), "sha256")
 
 
 def duplicate_summary(obs: DataFrame) -> DataFrame:

@@ -99,11 +99,17 @@ def t17_history(spark, sf_dir):
     return checks.history(c.select(F.col("role").alias("type"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"), stated.alias("stated")))
 
 
-@query(f"{_W} SELECT root_id, sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT root_id, sha256(path || chr(0) || size || chr(0) || seq) AS h FROM obs) GROUP BY root_id")
+@query(f"""{_W}, p AS (SELECT root_id, h[:3] AS b, sha256(string_agg(h, '' ORDER BY h)) AS d FROM (SELECT root_id, sha256(path || chr(0) || size || chr(0) || seq) AS h FROM obs) GROUP BY ALL)
+SELECT root_id, sha256(string_agg(d, '' ORDER BY b)) AS fingerprint FROM p GROUP BY root_id""")
 def s28_fingerprint(spark, sf_dir):
     return checks.fingerprint(_obs(spark, sf_dir).withColumn("mtime", F.col("seq")))
 
 
+@query("SELECT id, h[7:8] || h[5:6] || h[3:4] || h[1:2] || '-' || h[11:12] || h[9:10] || '-' || h[15:16] || h[13:14] || '-' || h[17:20] || '-' || h[21:] AS guid FROM (SELECT p_partkey AS id, md5(CAST(p_partkey AS VARCHAR)) AS h FROM part)")
+def f19_guids(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.guid_text(F.unhex(F.md5(F.col("p_partkey").cast("string")))).alias("guid"))
+
+
 @query("SELECT count(*) FILTER (WHERE s_nationkey % 4 IN (0, 1)) AS completed, count(*) AS total, CAST(sum(s_suppkey) AS BIGINT) AS items FROM supplier")
 def a29_progress(spark, sf_dir):
     state = F.element_at(F.array(*map(F.lit, ("complete", "error", "queued", "scanning"))), F.col("s_nationkey") % 4 + 1)

@@ -150,10 +150,9 @@ def a3_duplicate_summary(spark, sf_dir):
     return inventory.duplicate_summary(_obs(spark, sf_dir))
 
 
-@query(f"{_W} SELECT sha256, min(size) AS size, count(*) AS copies, count(DISTINCT root_id) AS roots, string_agg(root_id || ':' || path, '|' ORDER BY root_id, path) AS occurrences FROM obs GROUP BY sha256 HAVING count(*) > 1")
+@query(f"{_W}, g AS (SELECT sha256, min(size) AS size, count(*) AS copies, count(DISTINCT root_id) AS roots FROM obs GROUP BY sha256 HAVING count(*) > 1) SELECT g.*, root_id, path FROM obs JOIN g USING (sha256)")
 def a4_duplicate_groups(spark, sf_dir):
-    text = F.array_join(F.transform("occurrences", lambda o: F.concat(o["root_id"], F.lit(":"), o["path"])), "|")
-    return inventory.duplicate_groups(_obs(spark, sf_dir)).withColumn("occurrences", text)
+    return inventory.duplicate_occurrences(_obs(spark, sf_dir))
 
 
 @query(f"""{_W}, g AS (SELECT sha256, min(size) AS size, count(*) AS copies, count(*) FILTER (WHERE root_kind IN ('steam-grid', 'esde-media', 'decky-catalog')) AS k FROM obs GROUP BY sha256 HAVING count(*) > 1)
