@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .base import SLICE_BYTES, spread
 from .kernel import flat, slices
 
-ORDER, PER_LANG, PER_BYTES, CELLS, SALTS = 3, 400, 4 << 20, 1 << 24, 64
+ORDER, PER_LANG, PER_BYTES, CELLS, SPARE = 3, 400, 4 << 20, 1 << 24, 8
 UNKNOWN = "und"
 _ASCII = np.zeros(256, bool)
 _ASCII[65:91] = _ASCII[97:123] = True
@@ -123,19 +123,19 @@ def learn(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
     """Trees of the training rows' languages, from ``per_lang`` whole texts a language at most.
 
     Rows without an id, a text or a language teach nothing. The texts are those of the least hashes of the id (ties: of the id, then of the
-    text), as long as all so far have ``per_bytes`` together. Rows that repeat an id are texts of their own. The choice is made in two steps, so a
-    language that holds most rows is never in one task.
+    text), as long as all so far have ``per_bytes`` together. Rows that repeat an id are texts of their own. Languages are counted first; of a large
+    one only hashes below a bound, some ``SPARE`` times as many rows as are wanted, leave the tasks that read them.
     """
     usable = train & df[id_col].isNotNull() & df[text_col].isNotNull() & df[lang_col].isNotNull()
     rows = df.where(usable).select(df[id_col].alias("i"), df[lang_col].cast("string").alias("l"), df[text_col].cast("string").alias("t"))
-    place = rows.select("i", "l", F.octet_length("t").cast("long").alias("n"), F.xxhash64("i").alias("h"), F.xxhash64("t").alias("ht"))
-    order_of = ["h", "i", "ht", "n"]
-    first = lambda *by: Window.partitionBy(*by).orderBy(*order_of)
-    few = place.withColumn("salt", F.pmod("h", F.lit(SALTS))).withColumn("k", F.row_number().over(first("l", "salt"))).where(F.col("k") <= per_lang)
-    few = few.withColumn("k", F.row_number().over(first("l"))).where(F.col("k") <= per_lang)
-    few = few.withColumn("sum", F.sum("n").over(first("l").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= per_bytes)
+    rows = rows.withColumns({"h": F.shiftrightunsigned(F.xxhash64("i"), 1), "ht": F.xxhash64("t")})
+    bounds = rows.groupBy("l").agg((F.lit(float(SPARE * per_lang)) / F.count(F.lit(1)) * F.lit(2.0**63)).alias("bound"))
+    few = rows.join(F.broadcast(bounds), "l").where(F.col("h") < F.col("bound")).select("i", "l", "h", "ht", F.octet_length("t").cast("long").alias("n"))
+    first = Window.partitionBy("l").orderBy("h", "i", "ht", "n")
+    few = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang)
+    few = few.withColumn("sum", F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= per_bytes)
     pick = few.groupBy("i", "l", "ht").agg(F.count(F.lit(1)).alias("times"))
-    chosen = rows.withColumn("ht", F.xxhash64("t")).join(F.broadcast(pick), ["i", "l", "ht"]).distinct().select("l", "t", "times").collect()
+    chosen = rows.join(F.broadcast(pick), ["i", "l", "ht"]).select("i", "l", "ht", "t", "times").distinct().select("l", "t", "times").collect()
     texts: dict[str, list[bytes]] = {}
     for r in sorted(chosen):
         texts.setdefault(r.l, []).extend([r.t.encode()] * r.times)

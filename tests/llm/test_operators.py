@@ -344,14 +344,16 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(empty, trees).count() == 0
 
 
-def test_language_sample_and_score(spark):
+@pytest.mark.parametrize("spare", [8, 2])
+def test_language_sample_and_score(spark, spare, monkeypatch):
+    monkeypatch.setattr(language_id, "SPARE", spare)
     langs = ["en", "de", None]
     rows = [(k % 40 if k % 11 else None, f"{'the cat' if k % 3 else 'der hund'} {k % 50} " + "x" * (k % 7), langs[k % 3 if k % 3 != 1 else 0]) for k in range(200)] + [(3, None, "en"), (4, "the cat 4", "en"), (4, "the cat 4", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     hashed = df.select("doc_id", "text", "lang", F.xxhash64("doc_id"), F.xxhash64("text"), F.octet_length("text")).collect()
     want = {}
     for x in ("en", "de"):
-        usable = sorted((h, i, ht, n, t) for i, t, own, h, ht, n in hashed if own == x and i is not None and t is not None)[:20]
+        usable = sorted(((h & (2**64 - 1)) >> 1, i, ht, n, t) for i, t, own, h, ht, n in hashed if own == x and i is not None and t is not None)[:20]
         sums = itertools.accumulate(u[3] for u in usable)
         want[x] = [u[4].encode() for u, total in zip(usable, sums, strict=True) if total <= 150]
     assert 0 < len(want["en"]) < 20  # the bound on bytes is met
