@@ -129,7 +129,11 @@ def learn(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
     usable = train & df[id_col].isNotNull() & df[text_col].isNotNull() & df[lang_col].isNotNull()
     rows = df.where(usable).select(df[id_col].alias("i"), df[lang_col].cast("string").alias("l"), df[text_col].cast("string").alias("t"))
     rows = rows.withColumns({"h": F.shiftrightunsigned(F.xxhash64("i"), 1), "ht": F.xxhash64("t")})
-    bounds = rows.groupBy("l").agg((F.lit(float(SPARE * per_lang)) / F.count(F.lit(1)) * F.lit(2.0**63)).alias("bound"))
+    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("all"))
+    bounds = counts.withColumn("bound", F.lit(float(SPARE * per_lang)) / F.col("all") * F.lit(2.0**63))
+    below = rows.select("l", "h").join(F.broadcast(bounds), "l").groupBy("l").agg(F.count_if(F.col("h") < F.col("bound")).alias("n"), F.min("all").alias("all"), F.min("bound").alias("bound"))
+    enough = F.col("n") >= F.least(F.col("all"), F.lit(per_lang))  # not where a few ids are most of a language's rows
+    bounds = below.select("l", F.when(enough, F.col("bound")).otherwise(2.0**64).alias("bound"))
     few = rows.join(F.broadcast(bounds), "l").where(F.col("h") < F.col("bound")).select("i", "l", "h", "ht", F.octet_length("t").cast("long").alias("n"))
     first = Window.partitionBy("l").orderBy("h", "i", "ht", "n")
     few = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang)

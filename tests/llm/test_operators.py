@@ -360,6 +360,8 @@ def test_language_sample_and_score(spark, spare, monkeypatch):
     got, plain = language_id.learn(df, F.lit(True), per_lang=20, per_bytes=150), language_id.Trees({x: t for x, t in want.items() if t})
     assert got.langs == plain.langs and (got.bits == plain.bits).all() and (got.rows == plain.rows).all()
     texts = {x: sorted(t) for x, t in want.items()}
+    same_id = spark.createDataFrame([(7, f"text {k}", "en") for k in range(50)], "doc_id long, text string, lang string")
+    assert language_id.learn(same_id, F.lit(True), per_lang=2).langs == ["en"]
     one = spark.createDataFrame([(1, "the hund 5")], "doc_id long, text string")
     bits = {x: plain_bits(got, texts, x, b"the hund 5") for x in got.langs}
     best = min(bits, key=bits.get)
