@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -43,11 +44,23 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def cuts(*dfs: DataFrame) -> list[DataFrame]:
-    """The cuts of several frames, written at the same time."""
-    work = inheritable_thread_target(dfs[0].sparkSession)(cut)
-    with ThreadPoolExecutor(len(dfs)) as pool:
-        return list(pool.map(work, dfs))
+def together(spark: SparkSession, *jobs) -> list:
+    """The results of several functions that start jobs, run at the same time; the first failure is raised."""
+    work = inheritable_thread_target(spark)(lambda job: job())
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return list(pool.map(work, jobs))
+
+
+def from_files(df: DataFrame) -> bool:
+    """Whether ``df`` comes straight from files: reading it again gives the same rows in the same partitions."""
+    nodes = re.findall(r"^[\s:+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    return set(nodes) <= {"Project", "Filter", "Relation"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table of very few input splits over all cores; larger inputs keep their splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if from_files(df) and df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def release(*dfs: DataFrame | None) -> None:

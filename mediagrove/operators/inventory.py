@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.cuts import spread
 
 GENERATED = ("steam-grid", "esde-media", "decky-catalog")
 
@@ -13,7 +14,7 @@ GENERATED = ("steam-grid", "esde-media", "decky-catalog")
 def observations(raw: DataFrame) -> DataFrame:
     """Raw file facts (seq, root_id, root_kind, configured_system, path, size, sha256, mime, width, height) with all that paths tell."""
     kind, path = F.col("root_kind"), F.col("path")
-    out = raw.withColumns({"__low": F.lower(path), "__parts": F.split(path, "/")})  # each step once: later ones refer to it
+    out = spread(raw).withColumns({"__low": F.lower(path), "__parts": F.split(path, "/")})  # each step once: later ones refer to it
     out = out.withColumns({"extension": S.extension(path), "__stem": S.stem(path), "__parent": S.parent_name(F.col("__low")), "__guids": S.guids(F.col("__parts"))})
     name = F.when(F.col("extension") == "", S.base_name(F.col("__low"))).otherwise(F.lower("__stem"))
     out = out.withColumns({"__name": name, "system": S.system(kind, F.col("__parts"), F.col("configured_system"))})

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.cuts import cut, cuts, release
+from ..functions.cuts import cut, release, together
 from ..functions.udf import aspect
 from . import metadata
 
@@ -93,21 +93,24 @@ def keyed(obs: DataFrame, aliases: DataFrame, ends: DataFrame, titles: DataFrame
 def build(obs: DataFrame, selected: DataFrame, aliases: DataFrame, titles: DataFrame, stores: DataFrame) -> Catalog:
     """The catalog's tables. What several of them start from is written to the shared checkpoint folder once, so each later
     plan begins at a scan of a few columns and nothing stays in the executors' memory."""
-    obs, selected, aliases, titles, stores = cuts(
-        obs.withColumns({
-            "stem": S.stem(F.col("path")), "namespace": S.namespace(F.col("identity_hint")), "artwork_set": S.artwork_set(F.col("root_kind"), F.col("path")),
-            "source_name": S.source_name(F.col("root_kind")), "location": F.concat(F.col("root_id"), F.lit(":"), F.col("path")), "is_platform": is_platform_asset(),
-        }),
-        selected, aliases, titles, stores,
-    )
-    ends = metadata.closure(aliases)
+    spark = obs.sparkSession
+    derived = obs.withColumns({
+        "stem": S.stem(F.col("path")), "namespace": S.namespace(F.col("identity_hint")), "artwork_set": S.artwork_set(F.col("root_kind"), F.col("path")),
+        "source_name": S.source_name(F.col("root_kind")), "location": F.concat(F.col("root_id"), F.lit(":"), F.col("path")), "is_platform": is_platform_asset(),
+    })
+
+    def chains() -> tuple[DataFrame, DataFrame]:
+        own = cut(aliases)
+        return own, metadata.closure(own)
+
+    obs, selected, (aliases, ends), titles, stores = together(spark, lambda: cut(derived), lambda: cut(selected), chains, lambda: cut(titles), lambda: cut(stores))
     copies = obs.groupBy("sha256").agg(F.count(F.lit(1)).alias("shared_copies")).where("shared_copies > 1")
     every = (
         obs.join(copies, "sha256", "left").join(profile_index(selected), ["namespace", "sha256"], "left")
         .withColumns({"shared_copies": F.coalesce("shared_copies", F.lit(1)), "profiles": F.coalesce("profiles", F.array().cast("array<string>"))})
     )
     platform_assets = every.where("is_platform").withColumn("platform", F.concat(F.lit("retro:"), F.lower("system")))
-    assets = cut(keyed(every.where("not is_platform"), aliases, ends, titles, stores).withColumn("role", F.when(F.col("role") == "", F.lit("other")).otherwise(F.col("role"))))
+    assets = keyed(every.where("not is_platform"), aliases, ends, titles, stores).withColumn("role", F.when(F.col("role") == "", F.lit("other")).otherwise(F.col("role")))
 
     picked = selected.withColumns(profile_identity())
     picked = metadata.with_titles(picked.select("profile", "game_id", "own_game", "own_platform", "own_title").distinct(), "own_game", ends, titles)
@@ -120,6 +123,7 @@ def build(obs: DataFrame, selected: DataFrame, aliases: DataFrame, titles: DataF
         .agg(F.min_by(F.struct("platform", "title"), "seq").alias("p"))
         .select("game", "p.platform", "p.title", F.lit(False).alias("attention"))
     )
+    assets, declared = together(spark, lambda: cut(assets), lambda: cut(declared))
     seen = assets.groupBy("game").agg(F.min_by(F.struct("platform", "title", "attention"), "seq").alias("o"), F.min_by("store", "seq").alias("store"), F.count(F.lit(1)).alias("n"), F.collect_set("role").alias("roles"))
     games = declared.withColumnsRenamed({"platform": "dp", "title": "dt", "attention": "da"}).join(seen, "game", "full_outer")
     have = F.coalesce("roles", F.array().cast("array<string>"))

@@ -266,12 +266,15 @@ _STORES = f"SELECT page_id AS seq, concat('playnite:', lower({_G})) AS identity,
 _LISTS = "SELECT page_id AS seq, CASE page_id % 2 WHEN 0 THEN 'n64' ELSE 'snes' END AS system, concat('Game ', CAST(page_id % 30 AS STRING), CASE page_id % 4 WHEN 0 THEN '!' ELSE '' END) AS raw_stem, concat('Name ', CAST(CASE WHEN page_id % 30 = 7 THEN page_id ELSE page_id % 30 END AS STRING)) AS name FROM pages"
 
 
-def _pages(spark, sf_dir, sql):
-    return spark.sql(sql.replace("FROM pages", "FROM {pages}"), pages=spark.read.parquet(f"{sf_dir}/pages.parquet"))
+def _pages(spark, sf_dir, *sqls):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    out = [spark.sql(sql.replace("FROM pages", "FROM {pages}"), pages=pages) for sql in sqls]
+    return out if len(out) > 1 else out[0]
 
 
 def _meta(spark, sf_dir):
-    return metadata.resolve_aliases(_pages(spark, sf_dir, _ALIASES)), metadata.resolve_titles(_pages(spark, sf_dir, _TITLES)), metadata.resolve_stores(_pages(spark, sf_dir, _STORES))
+    aliases, titles, stores = _pages(spark, sf_dir, _ALIASES, _TITLES, _STORES)
+    return metadata.resolve_aliases(aliases), metadata.resolve_titles(titles), metadata.resolve_stores(stores)
 
 
 def _duck(sql):
