@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cuts import cut, release  # noqa: F401
+from ..functions.cuts import cut, from_files, release, spread  # noqa: F401
 
 #: Rows that one Arrow batch carries to Python. Texts are a few kB on average, so a batch is a few MB;
 #: every operator cuts its batches further, into slices of whole documents of about SLICE_BYTES.
@@ -24,12 +24,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals a table of very few input splits over all cores; larger inputs keep their splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,14 +10,13 @@ What is shuffled: distinct keys by block, answers, and the text once, compressed
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .base import cut, spread
+from .base import cut, from_files, spread
 from .kernel import flat, slices
 
 BLOCK_BYTES = 8 << 20
@@ -48,8 +47,7 @@ def settled(df: DataFrame) -> DataFrame:
 
     What stands behind a shuffle may be dealt otherwise when it is read again (adaptive plans, lost executors).
     """
-    nodes = re.findall(r"^[\s:+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString(), re.M)
-    return df if set(nodes) <= {"Project", "Filter", "Relation"} else cut(df)
+    return df if from_files(df) else cut(df)
 
 
 def rows_of(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A document of up to ``chunk`` characters is one chunk. A longer one is encoded as overlapping chunks with
 offsets, spliced where two neighbours agree on a boundary that is proven stable, so memory is bounded by the
-chunk and not by the document.
+chunk and not by the document, wherever the document has split positions. A stretch without any grows the left chunk until it ends, as
+nothing else proves its tokens.
 
 Why a common boundary is proven. The byte-level splitter scans from left to right without looking back: what
 follows a split position depends on the text after it alone, and merges never cross such a position. A split

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from mediagrove.llm import anchors, components, decontaminate, language_id, language_model, line_dedup, minhash, near_dedup, quality, substring_dedup, suffix_groups, telephony, token_counts, word_table  # noqa: E402
+from mediagrove.llm import anchors, base, components, decontaminate, language_id, language_model, line_dedup, minhash, near_dedup, quality, substring_dedup, suffix_groups, telephony, token_counts, word_table  # noqa: E402
 from mediagrove.llm.base import fold  # noqa: E402
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -636,3 +636,29 @@ def test_suffix_arrays(lanes):
     base = np.cumsum(length) - length
     want = [b + k for b, x in zip(base, texts, strict=True) for k in sorted(range(len(x)), key=lambda k: x[k:])]
     assert suffix_groups.suffix_arrays(np.concatenate(texts), length).tolist() == want
+
+
+# ---- all -------------------------------------------------------------------------------------------------------------
+def test_very_long_texts(spark):
+    """Texts of more than a slice (1 MiB), one of them without any space, among short ones."""
+    rng = np.random.default_rng(12)
+    words = np.array([f"w{k}" for k in range(5000)])[rng.integers(0, 5000, 230_000)]
+    long = " ".join(words)
+    assert len(long) > base.SLICE_BYTES
+    near = " ".join([*words[:-9], "another", "end"])
+    rows = [(1, long), (2, BASE), (3, near), (4, "x" * 40_000), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (Tokenizer.from_file(public_tokenizers.path(f)) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    same(token_counts.count_tokens(df).select("doc_id", "n_tokens").collect(), [(r[0], len(one.encode(text(r), add_special_tokens=False).ids)) for r in rows])
+    ids = [np.array(two.encode(text(r), add_special_tokens=False).ids, "<u4") for r in rows]
+    same(word_table.encode_decode(df).select("doc_id", "n_tokens", "ids_sha256").collect(), [(r[0], len(i), hashlib.sha256(i.tobytes()).hexdigest()) for r, i in zip(rows, ids, strict=True)])
+    same(near_dedup.near_duplicates(df).collect(), plain_near(rows))
+    same([(*r[:5], bytes(r.kept)) for r in substring_dedup.remove_repeats(df).drop("spans").collect()], plain_repeats(rows))
+    items = [(1, " ".join(words[100_000:100_040])), (2, "no such words here")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    same(decontaminate.decontaminate(df, bench).drop("items", "spans").collect(), list(plain_contamination(rows, items)))
+    got = {r.doc_id: r for r in telephony.store_audio(df, codec="adpcm").collect()}
+    assert telephony.read_wav(got[1].media)[3].rstrip(b"\0") == long.encode() and got[1].n_bytes == len(long)
+    scored = {r.doc_id: r for r in language_model.score(df, F.lit(True), order=3).collect()}
+    assert scored[1].n_tokens == 230_001 and scored[5].n_tokens == 1 and scored[1].score > scored[1].base_score
+    assert quality.describe(df).count() == 5
