@@ -130,8 +130,8 @@ def identity_view(obs: DataFrame) -> DataFrame:
 
 
 def rows_digest(rows: DataFrame) -> DataFrame:
-    """(n, digest) of a whole table: a digest of the digests of its rows by bucket, whatever the order of the rows; no task holds more than a 4096th of them."""
-    row = F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)
-    bucket = F.substring(row, 1, 3)
-    per = rows.select(bucket.alias("b"), row.alias("r")).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("r")), ""), 256).alias("d"))
+    """(n, digest) of a whole table: rows are digested by their columns in order of name, then by the first three digits of these
+    digests, then all together. The order of the rows doesn't matter, and no task holds more than a 4096th of them."""
+    row = F.sha2(F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in sorted(rows.columns))), 256)
+    per = rows.select(row.alias("r")).groupBy(F.substring("r", 1, 3).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("r")), ""), 256).alias("d"))
     return per.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))

@@ -277,6 +277,12 @@ def t14_identity_view(spark, sf_dir):
     return inventory.identity_view(_obs(spark, sf_dir))
 
 
+@query(f"""{_W}, r AS (SELECT sha256(observation_id || chr(31) || identity_hint || chr(31) || (identity_hint <> '')) AS h FROM obs), p AS (SELECT h[:3] AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM r GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM p""")
+def t14_identity_digest(spark, sf_dir):
+    return inventory.rows_digest(inventory.identity_view(_obs(spark, sf_dir)))
+
+
 def _first(rows, document, most=100):
     """The first rows of a document with their places."""
     order = orders.ORDERS[document]
