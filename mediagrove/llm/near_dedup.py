@@ -7,8 +7,8 @@
 3. Stars: in each bucket every node is compared with one centre (the node of the least hash of the round), so a bucket of n gives n - 1
    pairs. Pairs are confirmed on full sets and merged to components. Two rounds, with new centres for buckets that still mix components.
 4. What stars can't see: a link between two nodes of a mixed bucket neither of which was its centre. The nodes outside the centre's
-   component are compared with the whole bucket inside its blocks of ``BLOCK`` nodes, and a pair leaves a block only in the first band it shares. Sets of up to ``SMALL``
-   shingles travel with their nodes: pairs of such sets are compared exactly inside the block, and only links leave it. Other pairs leave it if the estimate
+   component are compared with the whole bucket, a block of ``BLOCK`` asking nodes with a block of ``BLOCK`` others at a time, and a pair leaves these only in the first
+   band it shares. Sets of up to ``SMALL`` shingles travel with their nodes: pairs of such sets are compared exactly there, and only links leave. Other pairs leave if the estimate
    from 1024-bin signatures is 0.08 (six standard deviations) below the threshold or better. All pairs that leave are confirmed on full sets. No cap: every
    pair that shares a bucket is in one component, was compared by a star, or is compared here.
 """
@@ -95,17 +95,19 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _compare(group: pa.Table, least: float, threshold: int, kind: pa.DataType) -> pa.Table:
-    """Pairs of some blocks, those asked about against those that live there: small sets that are similar, by their sets alone; others
-    whose sketches agree in a share of ``least`` or more."""
-    key, block, label = (group[c].to_numpy() for c in ("key", "block", "label"))
+    """Pairs of some blocks, those that ask against those that live there: sets that travel are compared by their sets alone; others
+    if their sketches agree in a share of ``least`` or more."""
+    key, one, two, label = (group[c].to_numpy() for c in ("key", "i", "j", "label"))
     asks, lives = (group[c].to_numpy() for c in ("asks", "lives"))
     ids = group["id"].combine_chunks()
-    sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+    none = bytes(BINS)
+    sketched = np.array([x is not None for x in group["sketch"].to_pylist()], bool)
+    sketch = np.frombuffer(b"".join(x or none for x in group["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
     keys = group["keys"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     small = [np.frombuffer(x or b"", U) for x in group["small"].to_pylist()]
     size = np.array([len(x) for x in small])
-    order = np.lexsort((block, key))
-    edge = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (block[order][1:] != block[order][:-1]), [True]]))
+    order = np.lexsort((two, one, key))
+    edge = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0), [True]]))
     left, right = [], []
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         own = order[a:b]
@@ -117,12 +119,13 @@ def _compare(group: pa.Table, least: float, threshold: int, kind: pa.DataType) -
         by = np.argsort(value, kind="stable")
         value, owner = value[by], owner[by]
         for q in own[asks[own]].tolist():
-            by_sketch = np.ones(len(living), bool) if not size[q] else size[living] == 0
+            by_sketch = sketched[living] & sketched[q] & ((size[living] == 0) | (size[q] == 0))
             good = np.zeros(len(living), bool)
             if size[q]:
                 first = np.searchsorted(value, small[q])
                 same = np.bincount(owner[ranges(first, np.searchsorted(value, small[q], "right") - first)], minlength=len(living))
                 good = 100 * same >= threshold * (size[living] + size[q] - same)
+                good &= size[living] > 0
             good[by_sketch] = (sketch[living[by_sketch]] == sketch[q]).sum(1) >= least * BINS
             x = living[good & (label[living] != label[q])]
             x = x[~(keys[x, :band] == keys[q, :band]).any(1)]
@@ -182,15 +185,21 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     now = labelled()
     mixed = now.join(centres(now, rounds), "key").select("key", "node", "label", (F.col("label") != F.col("to")).alias("asks"))
     size = mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    at = F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))).alias("block")
-    placed = mixed.join(size, "key").withColumn("home", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")).select("key", F.col("node").alias("id"), "label", "asks", "home", at)
-    short = F.when(F.length("shingles") <= 8 * SMALL, F.col("shingles")).alias("small")
-    known = sets.select("id", "sketch", short, "keys")
-    ready = placed.join(known, "id").select("key", "id", F.xxhash64("label").alias("label"), "asks", (F.col("home") == F.col("block")).alias("lives"), "block", "sketch", "small", "keys")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
+    # block i asks, block j lives: a group is two blocks, however large the bucket is
+    home, k = F.col("home"), F.col("k")
+    place = lambda i, j, asks, lives: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"), lives.alias("lives"))
+    yes, no = F.lit(True), F.lit(False)
+    places = F.when(k == home, F.array(place(home, home, F.col("asks"), yes))).when(F.col("asks"), F.array(place(home, k, yes, no), place(k, home, no, yes))).otherwise(F.array(place(k, home, no, yes)))
+    placed = mixed.join(size, "key").withColumn("home", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = cut(placed.select("key", F.col("node").alias("id"), F.xxhash64("label").alias("label"), F.explode(places).alias("p")).select("key", "id", "label", "p.*"))
+    wide = F.length("shingles") > 8 * SMALL
+    alone = F.length("shingles") * 100 < 8 * SMALL * threshold  # too small to be similar to a set that doesn't travel
+    known = sets.select("id", F.when(~alone, F.col("sketch")).alias("sketch"), F.when(~wide, F.col("shingles")).alias("small"), "keys")
+    ready = placed.join(known, "id")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, placed.count() // (2 * BLOCK))
     kept_least = threshold / 100 - SLACK
     pairs = (
-        ready.groupBy(F.pmod(F.xxhash64("key", "block"), F.lit(parts)))
+        ready.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)))
         .applyInArrow(lambda group: _compare(group, kept_least, threshold, arrow), f"a {kind}, b {kind}")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .where("a != b")

@@ -543,7 +543,7 @@ def test_small_sets_are_compared_exactly():
         keys = [[7, *range(k, k + near_dedup.BANDS - 1)] for k in (100, 200, 300)]
         links += (sketch[0] == sketch[1]).mean() < least
         group = pa.table({
-            "key": [7] * 3, "block": [0] * 3, "label": [1, 2, 3], "asks": [True, False, False], "lives": [True] * 3, "id": [1, 2, 3], "sketch": [x.tobytes() for x in sketch],
+            "key": [7] * 3, "i": [0] * 3, "j": [0] * 3, "label": [1, 2, 3], "asks": [True, False, False], "lives": [True] * 3, "id": [1, 2, 3], "sketch": [x.tobytes() for x in sketch],
             "small": [x.tobytes() for x in sets], "keys": pa.array(keys, pa.list_(pa.int64())),
         })
         assert near_dedup._compare(group, least, near_dedup.THRESHOLD, pa.int64()).to_pylist() == [{"a": 1, "b": 2}]
