@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 from ..functions.cuts import cut, from_files, release, spread  # noqa: F401
 
-#: Rows that one Arrow batch carries to Python. Texts are a few kB on average, so a batch is a few MB;
-#: every operator cuts its batches further, into slices of whole documents of about SLICE_BYTES.
-ARROW_ROWS = 2000
+#: Rows and bytes that one Arrow batch carries to Python, whichever come first: 2,000 texts of a megabyte would be two gigabytes. Every
+#: operator cuts its batches further, into slices of whole documents of about SLICE_BYTES.
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 SLICE_BYTES = 1 << 20
 _HELD: dict = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
