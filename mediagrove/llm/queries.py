@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import clusters, decontaminate, filter_audit, language_id, language_model, line_dedup, near_dedup, quality, substring_dedup, telephony, token_counts, word_table
+from . import clusters, decontaminate, filter_audit, language_id, language_model, line_dedup, near_dedup, packing, quality, substring_dedup, telephony, token_counts, word_table
 from .base import fold, table
 
 
@@ -61,9 +61,13 @@ def op11_filter_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark, sf_dir):
     return clusters.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_word_table_bpe, op4_telephony_audio, op5_line_dedup, op6_decontaminate, op7_language_id, op8_quality_classifier, op9_minhash_near_dedup, op10_suffix_array_dedup, op11_filter_audit, op13_centroid_clustering)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_word_table_bpe, op4_telephony_audio, op5_line_dedup, op6_decontaminate, op7_language_id, op8_quality_classifier, op9_minhash_near_dedup, op10_suffix_array_dedup, op11_filter_audit, op12_best_fit_packing, op13_centroid_clustering)}
 SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op6_decontaminate": decontaminate.SQL, "op11_filter_audit": filter_audit.SQL, "op13_centroid_clustering": clusters.SQL}
