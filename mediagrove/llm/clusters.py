@@ -208,7 +208,7 @@ def _means(state: DataFrame, c: np.ndarray) -> np.ndarray:
 def centroids_of(rows: DataFrame, clusters: int) -> np.ndarray:
     """The first ``clusters`` vectors in the order of the SHA-256 of "1:id"; rows without an id come last, equal ids by their vectors."""
     first = rows.withColumn("h", F.sha2(F.concat(F.lit("1:"), F.col("id").cast("string")).cast("binary"), 256)).orderBy(F.col("h").asc_nulls_last(), "v").limit(clusters).select("v").collect()
-    return np.array([r["v"] for r in first], np.float64).reshape(len(first), -1)
+    return np.array([r["v"] for r in first], np.float64)
 
 
 def cluster(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", dimensions: int = DIMENSIONS, clusters: int = CLUSTERS, rounds: int = ROUNDS, scale: float = SCALE, limit: int = LIMIT) -> DataFrame:
