@@ -28,12 +28,34 @@ from .kernel import flat, slices
 from .suffix_groups import ranges
 from .token_counts import _pieces, tokenizer
 
-FILE, SEQUENCE, END, GROUP, ROUNDS, SLICE, REMEMBER = "byte_bpe_50k.json", 1024, 2, 4096, 4, 4 << 20, 1_000_000
+FILE, SEQUENCE, END, GROUP, ROUNDS, SLICE, BATCH, REMEMBER = "byte_bpe_50k.json", 1024, 2, 4096, 4, 4 << 20, 16384, 1_000_000
 OPEN = 16  # a bin goes on if it has room for more than SEQUENCE / OPEN tokens
 
 
+#: Punctuation that the special string doesn't hold and no contraction begins with.
+_STOPS = np.zeros(256, bool)
+_STOPS[[ord(c) for c in '!"#$%&()*+,-./:;=?@[]^_`{}~']] = True
+_WORDS = np.zeros(256, bool)
+_WORDS[0x30:0x3A] = _WORDS[0x41:0x5B] = _WORDS[0x61:0x7B] = True
+
+
+def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the stretches that texts are encoded by, and the document of each: those of ``token_counts``, cut further before punctuation that follows a letter or digit (a run of either ends
+    there, whatever comes), and before other white space that follows no white space (a run of it begins there, and goes on in the same stretch)."""
+    starts, _ = _pieces(data, ends)
+    more = np.zeros(len(data), bool)
+    if len(data) > 1:
+        here, before = data[1:], data[:-1]
+        more[1:] = (_STOPS[here] & _WORDS[before]) | ((here >= 0x09) & (here <= 0x0D) & (before > 0x20) & (before < 0x7F))
+        more[starts] = True
+    else:
+        more[starts] = True
+    starts = np.flatnonzero(more)
+    return starts, np.searchsorted(ends, starts, "right") - 1
+
+
 class Encoder:
-    """The ids of texts, from those of their pieces (cut at proven split positions, see ``token_counts``); each distinct piece is encoded once while it's remembered."""
+    """The ids of texts, from those of their stretches; each distinct stretch is encoded once while it's remembered."""
 
     def __init__(self, tok):
         self.tok, self.forget = tok, 0
@@ -50,7 +72,7 @@ class Encoder:
 
     def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of each text's."""
-        starts, doc = _pieces(data, ends)
+        starts, doc = stretches(data, ends)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(ends) - 1, np.int64)
         cuts = np.append(starts, len(data)).astype(np.int32)
@@ -63,8 +85,8 @@ class Encoder:
         if new:
             at = len(known)
             known.update(zip(new, range(at, at + len(new)), strict=True))
-            for k in range(0, len(new), 4096):
-                got = [e.ids for e in self.tok.encode_batch_fast(new[k : k + 4096], add_special_tokens=False)]
+            for k in range(0, len(new), BATCH):
+                got = [e.ids for e in self.tok.encode_batch_fast(new[k : k + BATCH], add_special_tokens=False)]
                 size = np.fromiter(map(len, got), np.int64, len(got))
                 own = np.fromiter((i for ids in got for i in ids), np.uint32, int(size.sum()))
                 a, b = at + k, at + k + len(got)
@@ -268,7 +290,7 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", token
     """One row a piece: ``id_col``, piece (from 0), start, length, ids_crc32, sequence_id, offset (gapless from 0 in each sequence of at most ``sequence`` ids).
 
     A document's ids are the tokenizer's (no added special tokens) and ``end``; null and empty texts have ``end`` alone. Documents of more than ``sequence`` ids
-    are cut, from their end, into pieces of that many. Ids of documents may be null or repeat: every row is a document. Very long texts are encoded whole, in slices of
+    are cut, from their end, into pieces of that many. Ids of documents may be null or repeat: every row is a document. Very long texts are encoded whole, in stretches between
     proven split positions. Other columns aren't read, whatever their names; an empty table gives an empty result. Writes the pieces, and the packing of each round, when called.
     """
     every = cut(pieces(df, id_col=id_col, text_col=text_col, tokenizer_file=tokenizer_file, sequence=sequence, end=end))

@@ -18,6 +18,7 @@ from tokenizers import Tokenizer  # noqa: E402
 
 from mediagrove.llm import clusters, filter_audit, packing  # noqa: E402
 
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 LONG = " ".join(f"word{i % 977} Gap" for i in range(120_000))  # over a megabyte
 ROWS = [
     (1, "few words", "a"), (2, "few words", "a"), (2, "few words", "b"), (3, None, "a"), (4, "", None), (5, " \t\n", ""), (6, "w " * 60, "a"), (7, " ".join(f"w{i}" for i in range(60)), "a"),
@@ -222,3 +223,12 @@ def test_bounds_save_distances_and_stay_exact():
         d[np.arange(len(x)), own] = np.inf
         assert (lower <= d.min(1)).all()
     assert computed < 5 * len(x) * 12 / 4
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abTs'dll ve1.,!?-(\"<|endoftext|>\n\r\t\x0b\x1c\x7f  \u0085　é漢\U0001f600"), max_size=60), min_size=1, max_size=4))
+def test_stretches_are_split_positions(texts):
+    tok = TOKENIZER
+    data, ends = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    ids, count = packing.Encoder(tok).encode(data, ends)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
