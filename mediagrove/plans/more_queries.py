@@ -8,7 +8,7 @@ from ..functions import scalar as S
 from ..functions.cuts import new_path
 from ..operators import bindings as B
 from ..operators import checks
-from ..streaming import scan
+from ..streaming import roots, scan
 from .queries import _W, _duck, _obs, query
 
 
@@ -129,5 +129,5 @@ def ts1_incremental_scan(spark, sf_dir):
     facts = scan.read(spark, f"{sf_dir}/events*.parquet", schema).select(F.col("event_type").alias("root_id"), F.col("user_id").alias("size"))
 
     path = new_path(spark)
-    scan.run_versions(scan.summaries(facts), f"{path}/totals", 1, f"{path}/checkpoint")
+    scan.run_versions(scan.summaries(facts), f"{path}/totals", roots.begin(spark, path), f"{path}/checkpoint")
     return scan.current(spark, f"{path}/totals")

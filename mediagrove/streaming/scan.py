@@ -1,7 +1,7 @@
-"""Incremental scans as Structured Streaming: each batch of file facts updates the summaries of its roots.
+"""Running totals of file facts as Structured Streaming: each batch updates the summaries of its roots.
 
 Counts are kept by the stream's state (complete mode). Each scan is a generation: its batches are written to folders of its own, and
-readers take the last batch of the newest generation, so a stale scan overwrites nothing, in any driver. ``Fence`` does the same within one.
+readers take the last batch of the newest generation, so a stale scan overwrites nothing, in any driver. ``roots`` hands generations out and keeps states of roots.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .roots import numbers
+
 
 def read(spark: SparkSession, path: str, schema, files_per_batch: int = 1, pattern: str | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
@@ -21,12 +23,6 @@ def summaries(facts: DataFrame) -> DataFrame:
     return facts.groupBy("root_id").agg(F.count(F.lit(1)).alias("file_count"), F.sum("size").alias("total_bytes"))
 
 
-def run_to_memory(frame: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    query = frame.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
-
-
 def run_versions(frame: DataFrame, path: str, generation: int, checkpoint: str) -> StreamingQuery:
     """Runs ``frame`` to its end and writes the totals after each batch as a version. A batch that is repeated writes the same folder again."""
 
@@ -39,44 +35,6 @@ def run_versions(frame: DataFrame, path: str, generation: int, checkpoint: str)
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The totals of the newest generation's last batch."""
-    every = spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/generation=*/batch=*")
-    newest = every.agg(F.max(F.struct("generation", "batch")).alias("v")).select("v.*")
-    return every.join(F.broadcast(newest), ["generation", "batch"], "left_semi").drop("generation", "batch")
-
-
-class Fence:
-    """Accepts results of the newest generation only."""
-
-    def __init__(self):
-        self.generation, self.value = 0, None
-
-    def begin(self) -> int:
-        self.generation += 1
-        return self.generation
-
-    def put(self, generation: int, value) -> bool:
-        if generation != self.generation:
-            return False
-        self.value = value
-        return True
-
-
-def scan_each(roots: dict, scan, fence: Fence) -> dict[str, str]:
-    """Scans root by root; a root that fails gets the state error and is left out; after each, the union of all finished roots is put."""
-    generation, done, states = fence.begin(), [], dict.fromkeys(roots, "queued")
-    for name, root in roots.items():
-        states[name] = "scanning"
-        try:
-            done.append(scan(root))
-            states[name] = "complete"
-        except Exception:  # noqa: BLE001  any failure of one root is that root's state
-            states[name] = "error"
-            continue
-        whole = done[0]
-        for part in done[1:]:
-            whole = whole.unionByName(part)
-        if not fence.put(generation, whole):
-            states[name] = "cancelling"
-            break
-    return states
+    """The totals of the newest generation's last batch; only these are read."""
+    newest = f"{path.rstrip('/')}/generation={numbers(spark, path, 'generation')[-1]}"
+    return spark.read.parquet(f"{newest}/batch={numbers(spark, newest, 'batch')[-1]}")

@@ -1,11 +1,14 @@
 import os
 import struct
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from mediagrove.functions import udf
 from mediagrove.sources import files, formats, paged
+from mediagrove.streaming import roots as streams
 from mediagrove.streaming import scan
 
 PNG = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 6, 9) + b"\x08\x02\0\0\0"
@@ -155,14 +158,52 @@ def test_file_scan(spark, tmp_path):
     assert got["artwork/set1/grid/link.png"].issue == "symlink-rejected"
 
 
-def test_fencing_and_failures(spark):
-    fence = scan.Fence()
-    roots = {"a": 1, "b": 0, "c": 2}
-    states = scan.scan_each(roots, lambda n: spark.range(10 // n), fence)
-    assert states == {"a": "complete", "b": "error", "c": "complete"} and fence.value.count() == 15
-    stale = fence.begin()
-    fence.begin()
-    assert not fence.put(stale, None)
+def test_scan_splits_and_takes_filters_over(spark, tmp_path):
+    for folder, n in (("a/x", 120), ("a/x/deep/er", 30), ("a/y", 3), ("a", 2)):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        for i in range(n):
+            (tmp_path / folder / f"f{i}.{'png' if i % 2 else 'txt'}").write_bytes(b"x" * i)
+    os.symlink("x", tmp_path / "a/link")
+    (tmp_path / "b").mkdir()
+    roots = [("a", "romm", "", str(tmp_path / "a")), ("b", "romm", "", str(tmp_path / "b"))]
+    whole = files.scan(spark, roots, entries=25)
+    paths = sorted(r.path for r in whole.select("path").collect())
+    assert len(paths) == len(set(paths)) == 156 and "link" in paths
+    assert whole.rdd.getNumPartitions() == 1 + 5 + 2 + 1  # root a, x in shares of 25, er in two, y
+    assert sorted(r.path for r in files.scan(spark, roots, entries=25, folders=2).select("path").collect()) == paths  # what the plan doesn't open is walked by tasks
+    some = whole.where("root_id = 'a' and path like 'x/deep/%' and path like '%.png'")
+    assert some.count() == 15 and some.where("size > 10").count() == 10
+    assert some.rdd.getNumPartitions() < whole.rdd.getNumPartitions()
+    assert whole.where(F.col("root_id").isin("b", "c")).count() == 0 and files.scan(spark, roots[1:]).count() == 0
+
+
+def test_changes_as_a_stream_of_scans(spark, tmp_path):
+    for folder in ("a/x/y", "b"):
+        (tmp_path / folder).mkdir(parents=True)
+    for i in range(10):
+        (tmp_path / f"a/x/y/{i}").write_bytes(b"x" * i)
+    (tmp_path / "b/one").write_bytes(b"123")
+    roots, out = [(n, "romm", "", str(tmp_path / n)) for n in "abc"], str(tmp_path / "table")
+
+    def scanned():
+        streams.run(files.changes(spark, roots, str(tmp_path / "state"), streams.begin(spark, out)), out)
+        return sorted(map(tuple, streams.states(spark, out).collect()))
+
+    assert scanned() == [("a", 1, "complete", 10, 45), ("b", 1, "complete", 1, 3), ("c", 1, "error", 0, 0)]
+    (tmp_path / "a/x/y/9").unlink()
+    (tmp_path / "a/x/y/1").write_bytes(b"x" * 100)
+    (tmp_path / "c").mkdir()
+    os.rename(tmp_path / "b", tmp_path / "gone")
+    assert scanned() == [("a", 2, "complete", 9, 135), ("b", 2, "error", 0, 0), ("c", 2, "complete", 0, 0)]
+    os.rename(tmp_path / "gone", tmp_path / "b")
+    assert scanned() == [("a", 3, "complete", 9, 135), ("b", 3, "complete", 1, 3), ("c", 3, "complete", 0, 0)]
+
+
+def test_generations_are_handed_out_once(spark, tmp_path):
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda _: streams.begin(spark, str(tmp_path)), range(24)))
+    assert sorted(got) == list(range(1, 25)) and streams.newest(spark, str(tmp_path)) == 24
+    assert streams.states(spark, str(tmp_path)).count() == 0 and streams.progress(streams.states(spark, str(tmp_path))).first().status == "idle"
 
 
 def test_versions_of_totals(spark, tmp_path):
