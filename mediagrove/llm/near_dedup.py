@@ -7,7 +7,7 @@
 3. Stars: in each bucket every node is compared with one centre (the node of the least hash of the round), so a bucket of n gives n - 1
    pairs. Pairs are confirmed on full sets and merged to components. Two rounds, with new centres for buckets that still mix components.
 4. What stars can't see: a link between two nodes of a mixed bucket neither of which was its centre. The nodes outside the centre's
-   component are compared with the whole bucket, a block of ``BLOCK`` asking nodes with a block of ``BLOCK`` others at a time, and a pair leaves these only in the first
+   component ask, and are compared with the whole bucket, a block of ``BLOCK`` asking nodes with a block of ``BLOCK`` living ones at a time, and a pair leaves these only in the first
    band it shares. Sets of up to ``SMALL`` shingles travel with their nodes: pairs of such sets are compared exactly there, and only links leave. Other pairs leave if the estimate
    from 1024-bin signatures is 0.08 (six standard deviations) below the threshold or better. All pairs that leave are confirmed on full sets. No cap: every
    pair that shares a bucket is in one component, was compared by a star, or is compared here.
@@ -135,6 +135,23 @@ def _compare(group: pa.Table, least: float, threshold: int, kind: pa.DataType) -
     return pa.table({"a": pick[0].cast(kind), "b": pick[1].cast(kind)})
 
 
+def _placed(mixed: DataFrame, block: int) -> DataFrame:
+    """(key, id, label, i, j, asks, lives): the groups (ask block i, living block j) of each node (key, node, label, asks) of a bucket.
+
+    Nodes that ask are dealt to blocks of their own, and meet every block of living nodes; all nodes live in one block, and meet every block that asks. Of n nodes of which a ask
+    that is n * ceil(a / ``block``) + a * ceil(n / ``block``) rows at most, in groups of two blocks.
+    """
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    size = mixed.groupBy("key").agg(blocks(F.count(F.lit(1))).alias("living"), blocks(F.count_if("asks")).alias("asking"))
+    home, ask_home, asks, yes, no = F.col("home"), F.col("ask_home"), F.col("asks"), F.lit(True), F.lit(False)
+    place = lambda i, j, asks, lives: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"), lives.alias("lives"))
+    lives = F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda i: place(i, home, asks & (i == ask_home), yes))
+    elsewhere = F.transform(F.filter(F.sequence(F.lit(0), F.col("living") - 1), lambda j: j != home), lambda j: place(ask_home, j, yes, no))
+    out = mixed.join(size, "key").withColumns({"home": F.pmod(F.xxhash64("node", "key"), F.col("living")).cast("int"), "ask_home": F.pmod(F.xxhash64("key", "node"), F.col("asking")).cast("int")})
+    out = out.select("key", F.col("node").alias("id"), F.xxhash64("label").alias("label"), F.explode(F.when(asks, F.concat(lives, elsewhere)).otherwise(lives)).alias("p"))
+    return out.select("key", "id", "label", "p.*")
+
+
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, rounds: int = 2) -> DataFrame:
     """One row an input row: ``id_col``, n_shingles, component_id (least id reachable over links), kept (id = component_id).
 
@@ -160,7 +177,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     sets = cut(_sets(rows.join(nodes, "id", "left_semi"), shingle).where("length(shingles) > 0"))
     again = real.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi").select("id")  # ids of several texts link them
     again = real.select("id", "digest", "salt").join(again, "id").join(equal, ["digest", "salt"]).select("id", "node").distinct()
-    again = cut(again.withColumn("to", F.min("node").over(Window.partitionBy("id"))).select(F.col("node").alias("a"), F.col("to").alias("b")).where("a != b"))
+    again = cut(again.join(again.groupBy("id").agg(F.min("node").alias("to")), "id").select(F.col("node").alias("a"), F.col("to").alias("b")).where("a != b"))
     found, tested, labels = again, None, None
 
     def labelled():
@@ -184,14 +201,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         release(last)
     now = labelled()
     mixed = now.join(centres(now, rounds), "key").select("key", "node", "label", (F.col("label") != F.col("to")).alias("asks"))
-    size = mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    # block i asks, block j lives: a group is two blocks, however large the bucket is
-    home, k = F.col("home"), F.col("k")
-    place = lambda i, j, asks, lives: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"), lives.alias("lives"))
-    yes, no = F.lit(True), F.lit(False)
-    places = F.when(k == home, F.array(place(home, home, F.col("asks"), yes))).when(F.col("asks"), F.array(place(home, k, yes, no), place(k, home, no, yes))).otherwise(F.array(place(k, home, no, yes)))
-    placed = mixed.join(size, "key").withColumn("home", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = cut(placed.select("key", F.col("node").alias("id"), F.xxhash64("label").alias("label"), F.explode(places).alias("p")).select("key", "id", "label", "p.*"))
+    placed = cut(_placed(mixed, BLOCK))
     wide = F.length("shingles") > 8 * SMALL
     alone = F.length("shingles") * 100 < 8 * SMALL * threshold  # too small to be similar to a set that doesn't travel
     known = sets.select("id", F.when(~alone, F.col("sketch")).alias("sketch"), F.when(~wide, F.col("shingles")).alias("small"), "keys")

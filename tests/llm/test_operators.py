@@ -662,3 +662,38 @@ def test_very_long_texts(spark):
     scored = {r.doc_id: r for r in language_model.score(df, F.lit(True), order=3).collect()}
     assert scored[1].n_tokens == 230_001 and scored[5].n_tokens == 1 and scored[1].score > scored[1].base_score
     assert quality.describe(df).count() == 5
+
+
+@pytest.mark.parametrize(("nodes", "askers"), [(5000, 3), (2000, 1500), (10, 1)])
+def test_blocks_hold_what_asks(spark, nodes, askers):
+    mixed = spark.range(nodes).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node"), F.when(F.col("id") < askers, F.col("id")).otherwise(-1).alias("label"), (F.col("id") < askers).alias("asks"))
+    got = near_dedup._placed(mixed, 1024).toPandas()
+    blocks = lambda n: -(-n // 1024)
+    assert len(got) <= nodes * blocks(askers) + askers * blocks(nodes)
+    assert got.groupby(["i", "j"]).size().max() <= 2 * 1024 * 1.2
+    met = got[got.asks].merge(got[got.lives], on=["i", "j"])[["id_x", "id_y"]]
+    assert len(met) == askers * nodes and not met.duplicated().any()  # who asks meets every living node once
+
+
+def test_near_duplicates_over_small_blocks(spark, monkeypatch):
+    """Buckets of many blocks, after two rounds of stars and without any, give the links that brute force gives."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    base_words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(base_words[: 40 - k % 3] + [f"x{k % 3}"] * (k % 2)), None, None, 0, "c", 1) for k in range(120)]
+    rows += [(200 + k, " ".join(f"y{k // 4}z{j}" for j in range(30)) + (" end" if k % 4 else ""), None, None, 0, "c", 1) for k in range(80)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t, *_ in rows for w in [t.split()]}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    for rounds in (0, 2):
+        got = near_dedup.near_duplicates(df, rounds=rounds).select("doc_id", "component_id").collect()
+        assert {tuple(r) for r in got} == {(i, find(i)) for i in sets}
