@@ -1,12 +1,13 @@
-"""Registered queries over streams: scans of roots with generations, failures, silent roots and restarts."""
+"""Registered queries over streams and changes: scans of roots with generations, failures, silent roots and restarts; views kept up by changes; trees compared by digests."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.cuts import new_path
+from ..operators import deltas, hash_tree
 from ..streaming import roots
-from .queries import query
+from .queries import _OBS, _obs, query
 
 # ---- scans of roots ------------------------------------------------------------------------------------------------
 # Each event is a file of the root "type-user % 4". Roots error-3 and click-1 fail, view-2 falls silent after the first half of its files.
@@ -59,3 +60,55 @@ def ts1_visible_files(spark, sf_dir):
     """What readers see while a root is silent and two have failed: the files of the roots that are complete."""
     events = spark.sql(_EVENTS, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
     return roots.visible(events, _scanned(spark, sf_dir)).groupBy("root_id").agg(F.count(F.lit(1)).alias("file_count"), F.max("size").alias("largest"))
+
+
+# ---- views kept up by changes --------------------------------------------------------------------------------------
+# Files that documents stand for: a tenth comes late, a tenth goes again, a tenth changes its content.
+_LATE, _GONE, _EDITED = "seq % 10 = 1", "seq % 10 = 0", "seq % 10 = 2"
+_NOW = _OBS + f""", now AS (SELECT * REPLACE (CASE WHEN {_EDITED} THEN sha256(sha256 || 'x') ELSE sha256 END AS sha256, CASE WHEN {_EDITED} THEN size + 1 ELSE size END AS size) FROM obs WHERE NOT ({_GONE}))"""
+_HEX = "('0x' || md5(path || chr(0) || size || chr(0) || sha256)[{}:{}])::BIGINT"
+
+
+def _maintained(spark, sf_dir, *views):
+    """The views after four changes of the observations: what is there first, late files, files that go, files whose content changes."""
+    path, obs = new_path(spark), _obs(spark, sf_dir)
+    edited = obs.where(_EDITED)
+    after = edited.withColumns({"sha256": F.sha2(F.concat("sha256", F.lit("x")), 256), "size": F.col("size") + 1})
+    for number, change in enumerate((obs.where(f"NOT ({_LATE})").withColumn("sign", F.lit(1)), obs.where(_LATE).withColumn("sign", F.lit(1)), obs.where(_GONE).withColumn("sign", F.lit(-1)), deltas.difference(edited, after)), 1):
+        deltas.refresh(path, number, change, views, parts=8)
+    return path
+
+
+@query(f"WITH {_NOW} SELECT root_id, count(*) AS file_count, sum(size)::BIGINT AS total_bytes, count(*) FILTER (WHERE mime LIKE 'image/%' OR mime LIKE 'video/%' OR mime = 'application/pdf') AS media_count, count(*) FILTER (WHERE mime LIKE 'image/%') AS image_count, "
+       f"min(size)::BIGINT AS smallest, max(size)::BIGINT AS largest, sum({_HEX.format(1, 15)})::DECIMAL(38,0) AS mark_a, sum({_HEX.format(16, 30)})::DECIMAL(38,0) AS mark_b FROM now GROUP BY root_id")
+def ts5_root_summary(spark, sf_dir):
+    return deltas.root_summary(spark, _maintained(spark, sf_dir, deltas.ROOTS, deltas.SIZES))
+
+
+@query(f"""WITH {_NOW}, c AS (SELECT sha256, min(size) AS size, count(*) AS n, count(DISTINCT root_id) AS roots FROM now GROUP BY sha256)
+SELECT count(*) FILTER (WHERE n > 1) AS groups, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS copies, coalesce(sum((n - 1) * size) FILTER (WHERE n > 1), 0)::BIGINT AS excess_bytes, count(*) FILTER (WHERE n > 1 AND roots > 1) AS cross_root_groups, count(*) AS unique_hashes FROM c""")
+def ts5_duplicate_summary(spark, sf_dir):
+    return deltas.duplicate_summary(spark, _maintained(spark, sf_dir, deltas.COPIES))
+
+
+@query(f"""WITH {_NOW}, c AS (SELECT sha256, min(size)::BIGINT AS size, count(*) AS copies, bool_or(root_kind IN ('steam-grid', 'esde-media', 'decky-catalog')) AS any_made, bool_and(root_kind IN ('steam-grid', 'esde-media', 'decky-catalog')) AS all_made FROM now GROUP BY sha256 HAVING count(*) > 1)
+SELECT sha256, size, copies, CASE WHEN any_made AND NOT all_made THEN 'expected-copy' WHEN all_made THEN 'review' ELSE 'canonical-opportunity' END AS classification FROM c""")
+def ts5_duplicate_view(spark, sf_dir):
+    return deltas.duplicate_view(spark, _maintained(spark, sf_dir, deltas.COPIES))
+
+
+# ---- trees compared by digests -------------------------------------------------------------------------------------
+_SOURCE = "SELECT concat('f/', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS path, min(concat('h', CAST(l_partkey AS STRING))) AS sha256, min(l_partkey) % 9 = 0 AS blocked, l_orderkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber"
+#: Of the target few files differ: some are missing, some have other contents, some aren't in the source.
+_TARGET = "SELECT path, CASE WHEN l_orderkey % 500 = 3 THEN 'x' ELSE sha256 END AS sha256 FROM {files} WHERE l_orderkey % 700 <> 5"
+_TREES = f"f AS ({_SOURCE.replace('{lineitem}', 'lineitem').replace('STRING', 'VARCHAR')}), t AS ({_TARGET.replace('{files}', 'f')})"
+
+
+@query(f"""WITH {_TREES} SELECT f.path, f.sha256, f.blocked, coalesce(t.sha256, '') AS previous, CASE WHEN t.sha256 IS NULL THEN 'missing' WHEN t.sha256 = f.sha256 THEN 'matching' ELSE 'different' END AS status FROM f LEFT JOIN t USING (path)""")
+def t22_parity_tree(spark, sf_dir):
+    path = new_path(spark)
+    source = spark.sql(_SOURCE, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    target = spark.sql(_TARGET, files=source).unionByName(source.where("l_orderkey % 900 = 1").select(F.concat(F.lit("only/"), "path").alias("path"), "sha256"))
+    hash_tree.write(source.select("path", "sha256", "blocked"), f"{path}/source")
+    hash_tree.write(target, f"{path}/target")
+    return hash_tree.compare(spark, f"{path}/source", f"{path}/target")
