@@ -44,10 +44,15 @@ def listing(obs: DataFrame, selected: DataFrame, issues: DataFrame, rules: DataF
     return out.select("root_id", "path", "size", "sha256", "role", "system", "identity_hint", "dimensions", "mode", "matched_rule", "themes", "issue_codes")
 
 
+def clamped(number: int, size: int) -> tuple[int, int]:
+    """Page number and size as they count: below 1 they become 1 and 50."""
+    return max(1, number), size if size >= 1 else 50
+
+
 def page(rows: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
-    """A page of a listing by root and path; pages and sizes below 1 become 1 and 50."""
-    number, size = max(1, number), size if size >= 1 else 50
-    return rows.orderBy("root_id", "path").offset((number - 1) * size).limit(size)
+    """A page of a listing by root and path (rows of equal paths by content); pages and sizes below 1 become 1 and 50."""
+    number, size = clamped(number, size)
+    return rows.orderBy("root_id", "path", "sha256").offset((number - 1) * size).limit(size)
 
 
 def total(rows: DataFrame) -> DataFrame:

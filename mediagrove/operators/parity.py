@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATUSES = ("matching", "missing", "different", "unknown")
@@ -68,8 +68,11 @@ def all_published(compared: DataFrame) -> DataFrame:
 def block_variants(actions: DataFrame, roles: tuple[str, ...] = ("grid", "portrait", "hero", "logo", "icon")) -> DataFrame:
     """Actions with every variant of one role's file blocked: equal destinations but for case and extension."""
     key = F.when(F.col("role").isin(*roles), F.lower(F.regexp_replace("destination_path", r"\.[^./]*\z", "")))
-    many = F.col("key").isNotNull() & (F.count(F.lit(1)).over(Window.partitionBy("profile", "key")) > 1)
-    out = actions.withColumn("key", key).withColumn("many", many)
+    own = actions.withColumn("key", key)
+    # rows without a key are counted by nothing, and stay out of the join
+    many = own.where("key is not null").groupBy("profile", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("profile", "key", F.lit(True).alias("many"))
+    keyed = own.where("key is not null").join(many, ["profile", "key"], "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    out = keyed.unionByName(own.where("key is null").withColumn("many", F.lit(False)))
     reason = "multiple filename variants for one Steam artwork role; choose an explicit asset before publishing"
     return out.withColumns({"action": F.when(F.col("many"), "blocked").otherwise(F.col("action")), "reason": F.when(F.col("many"), reason).otherwise("")}).drop("key", "many")
 
@@ -101,8 +104,43 @@ def case_collisions(ids: DataFrame) -> DataFrame:
     return per.where(F.size("ids") > 1).orderBy("key")
 
 
-def receipts_state(receipts: DataFrame, prepared: DataFrame, target: DataFrame) -> DataFrame:
-    """Files of receipts that were prepared, against the target now: restorable only where the target still has what was published."""
-    own = receipts.join(prepared.select("receipt", "path"), ["receipt", "path"], "left_semi")
-    now = target.select("path", F.col("sha256").alias("now"))
-    return own.join(now, "path", "left").withColumn("restorable", F.coalesce(F.col("now") == F.col("sha256"), F.lit(False)))
+STATES = {
+    "unsupported": "No local publishing adapter is enabled for this frontend.", "unobserved": "No actual frontend folder has been configured on this host.",
+    "offline": "Configured frontend folder is unavailable on this host.", "unknown": "Some target files cannot be safely observed; publishing is disabled.",
+}
+
+
+def plan_files(files: DataFrame, targets: DataFrame, observed: DataFrame) -> DataFrame:
+    """A row a file and target of the profile's platform: profile, target, state (of the target), path, sha256, blocked, previous, status.
+
+    ``files``: (profile: "platform/name", path, sha256, blocked); ``targets``: (target, platform, adapter, root: '' if none is configured, available);
+    ``observed``: (root, path, sha256, readable). Of targets of other adapters no file is compared; where the target isn't observed, or a file in it can't be read, the status is unknown.
+    """
+    state = (
+        F.when((F.col("adapter") != "steam") | (F.col("platform") != "steam"), "unsupported").when(F.coalesce("root", F.lit("")) == "", "unobserved")
+        .when(~F.coalesce("available", F.lit(False)), "offline").otherwise("observed")
+    )
+    named = targets.withColumn("state", state)
+    rows = files.withColumn("platform", F.substring_index("profile", "/", 1)).join(named.where("adapter = 'steam'"), "platform")
+    there = observed.select("root", "path", F.col("sha256").alias("now"), "readable")
+    out = rows.join(there, ["root", "path"], "left")
+    seen = F.col("state") == "observed"
+    hidden = ~F.coalesce("readable", F.lit(True))
+    out = out.withColumn("previous", F.when(seen & ~hidden, F.coalesce("now", F.lit(""))).otherwise(""))
+    status = F.when(~seen | hidden, "unknown").when(F.col("previous") == "", "missing").when(F.col("previous") == F.col("sha256"), "matching").otherwise("different")
+    return out.withColumn("status", status).select("profile", "target", "state", "path", "sha256", "blocked", "previous", "status")
+
+
+def plans(files: DataFrame, targets: DataFrame, observed: DataFrame) -> DataFrame:
+    """A row a profile and target of its platform: state, message, counts of files by status, of those that aren't blocked, and of blocked ones. An observed target of which a file is unknown is itself unknown."""
+    free, status = ~F.col("blocked"), F.col("status")
+    compared = plan_files(files, targets, observed).groupBy("profile", "target", "state").agg(
+        F.count(F.lit(1)).alias("files"), *(F.count_if(status == s).alias(s) for s in STATUSES), F.count_if(free).alias("publishable"), *(F.count_if(free & (status == s)).alias(f"publishable_{s}") for s in STATUSES), F.count_if("blocked").alias("blocked"),
+    )
+    compared = compared.withColumn("state", F.when((F.col("state") == "observed") & (F.col("unknown") > 0), "unknown").otherwise(F.col("state")))
+    profiles = files.select("profile", F.substring_index("profile", "/", 1).alias("platform")).distinct()
+    others = profiles.join(targets.where("adapter != 'steam'"), "platform").select("profile", "target", F.lit("unsupported").alias("state"), *(F.lit(0).cast("long").alias(c) for c in compared.columns[3:]))
+    message = F.lit("")
+    for name, text in STATES.items():
+        message = F.when(F.col("state") == name, text).otherwise(message)
+    return compared.unionByName(others).withColumn("message", message)

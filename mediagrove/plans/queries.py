@@ -248,7 +248,7 @@ for _n, (_given, _where) in _FILTERS.items():
 
 @query(f"{_WI}, {_MODE}, {_LIST} SELECT * FROM listed ORDER BY root_id, path, sha256 LIMIT 50 OFFSET 100")
 def o13_page(spark, sf_dir):
-    return _listing(spark, sf_dir).orderBy("root_id", "path", "sha256").offset(100).limit(50)
+    return listing.page(_listing(spark, sf_dir), 3, 50)
 
 
 @query(f"{_W} SELECT count(*) AS total FROM obs WHERE role = 'cover'")
@@ -393,10 +393,17 @@ def o18_representative(spark, sf_dir):
     return organizer.representative(_catalog(spark, sf_dir).assets)
 
 
-@query(f"{_WC} SELECT g.game, title FROM g WHERE platform = 'steam' AND contains(lower(title), 'app') AND assets > 0 AND EXISTS (SELECT 1 FROM a WHERE a.game = g.game AND arole = 'grid') ORDER BY title, game")
+@query(f"{_WC} SELECT g.game, title FROM g WHERE platform = 'steam' AND contains(lower(title), 'an') AND assets > 0 AND EXISTS (SELECT 1 FROM a WHERE a.game = g.game AND arole = 'grid') ORDER BY title, game")
 def w17_visible_games(spark, sf_dir):
     c = _catalog(spark, sf_dir)
-    return organizer.visible_games(c.games, c.assets, platform="steam", text="APP", art="has-art", role="grid").select("game", "title")
+    return organizer.visible_games(c.games, c.assets, platform="steam", text="AN", art="has-art", role="grid").select("game", "title")
+
+
+@query(f"{_WC} SELECT game, len(missing) AS n FROM g ORDER BY len(missing) DESC, title, game LIMIT 20")
+def o16_by_missing(spark, sf_dir):
+    """The games that lack most roles."""
+    c = _catalog(spark, sf_dir)
+    return organizer.visible_games(c.games, c.assets, by_missing=True).limit(20).select("game", F.size("missing_roles").cast("long").alias("n"))
 
 
 @query(f"{_WC} SELECT count(*) FILTER (WHERE attention) AS needs_attention, count(*) AS games FROM g")

@@ -20,8 +20,8 @@ _ENTRIES = f"""SELECT concat('root', CAST(doc_id % 3 AS STRING)) AS root, CASE d
   WHEN 3 THEN concat('Sys-', {_N}) WHEN 4 THEN concat('sys.', {_N}) WHEN 5 THEN concat('profiles/p', {_N}, '.json') WHEN 6 THEN concat('profiles/old/p', {_N}, '.json')
   WHEN 7 THEN concat('artwork/set', CAST(doc_id % 4 AS STRING), '/grid/', {_N}, '.png') WHEN 8 THEN concat('artwork/set', CAST(doc_id % 4 AS STRING), '/grid/.deck-profile-empty')
   WHEN 9 THEN concat('plans/a/', {_N}, '.json') WHEN 10 THEN 'gate-reviews/b/applied.json' WHEN 11 THEN concat('gate-reviews/', substring('abcd', CAST(doc_id % 4 AS INT) + 1, 1), '/', {_N}, '.json')
-  WHEN 12 THEN concat('drafts/profile-', {_N}, '.json') WHEN 13 THEN concat('drafts/profile-a b', {_N}, '.json') WHEN 14 THEN concat('library/themes/t', CAST(doc_id % 50 AS STRING))
-  WHEN 15 THEN concat('library/themes/t', CAST(doc_id % 50 AS STRING), '/theme.json') ELSE concat('drafts/x/profile-', {_N}, '.json') END AS path FROM documents"""
+  WHEN 12 THEN concat('drafts/profile-', {_N}, '.json') WHEN 13 THEN concat('drafts/profile-a b', {_N}, '.json') WHEN 14 THEN concat('library/themes/t', CAST(CAST(floor(doc_id / 17) % 4 AS INT) AS STRING))
+  WHEN 15 THEN concat('library/themes/t', CAST(CAST(floor(doc_id / 17) % 4 AS INT) AS STRING), '/theme.json') ELSE concat('drafts/x/profile-', {_N}, '.json') END AS path FROM documents"""
 _E = f"WITH e AS ({_duck(_ENTRIES)})"
 
 
@@ -135,11 +135,14 @@ def t18_diagnostics(spark, sf_dir):
     return _resolved_files(spark, sf_dir).diagnostics
 
 
-@query("WITH d(source, message) AS (VALUES ('steam-manifest', 'a'), ('playnite', 'b'), ('esde:n64', 'c'), ('identity', 'd')) SELECT k.kind, d.source, d.message FROM d JOIN (VALUES ('steam-grid', 'steam'), ('playnite-extra', 'playnite'), ('esde-media', 'esde')) k(kind, prefix) ON starts_with(d.source, k.prefix)")
+_SAID = "SELECT CASE event_id % 5 WHEN 0 THEN 'steam-manifest' WHEN 1 THEN 'playnite' WHEN 2 THEN concat('esde:', event_type) WHEN 3 THEN 'identity' ELSE concat('romm:', event_type) END AS source, concat('event ', CAST(event_id AS STRING)) AS message FROM events"
+
+
+@query(f"WITH d AS ({_duck(_SAID)}) SELECT k.kind, d.source, count(*) AS n, min(message) AS message FROM d JOIN (VALUES ('steam-grid', 'steam'), ('playnite-extra', 'playnite'), ('esde-media', 'esde')) k(kind, prefix) ON starts_with(d.source, k.prefix) GROUP BY ALL")
 def w20_diagnostics(spark, sf_dir):
-    said = spark.createDataFrame([("steam-manifest", "a"), ("playnite", "b"), ("esde:n64", "c"), ("identity", "d")], "source string, message string")
+    said = _sql(spark, sf_dir, "events", _SAID)
     parts = [detect.diagnostics_of(said, k).select(F.lit(k).alias("kind"), "source", "message") for k in ("steam-grid", "playnite-extra", "esde-media", "romm")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).groupBy("kind", "source").agg(F.count(F.lit(1)).alias("n"), F.min("message").alias("message"))
 
 
 # ---- publishing -----------------------------------------------------------------------------------------------------
@@ -215,9 +218,9 @@ def p16_identities(spark, sf_dir):
     return a.select("observation_id", F.array_join(F.array_sort(shown), ",").alias("identities"))
 
 
-@query(f"{_WV} SELECT key, game, title FROM pgm WHERE contains(lower(title), 'app 1')")
+@query(f"{_WV} SELECT key, game, title FROM pgm WHERE contains(lower(title), 'er')")
 def w18_search_games(spark, sf_dir):
-    return publishing.search_games(coverage.profile_games(*_cov(spark, sf_dir)[:3]), " APP 1").select("key", "game", "title")
+    return publishing.search_games(coverage.profile_games(*_cov(spark, sf_dir)[:3]), " ER").select("key", "game", "title")
 
 
 @query(f"{_WV}, t AS (SELECT d.key, d.platform FROM d WHERE d.key NOT IN (SELECT key FROM pgm)), u AS (SELECT DISTINCT artwork_set, gg.platform FROM h JOIN gg ON gg.game = h.game WHERE artwork_set NOT IN (SELECT artwork FROM decl)) SELECT DISTINCT artwork_set, key FROM u JOIN t USING (platform)")

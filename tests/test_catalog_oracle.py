@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from mediagrove.plans import more_queries, stream_queries, view_queries  # noqa: F401  register their queries
+from mediagrove.plans import more_queries, stream_queries, table_queries, view_queries  # noqa: F401  register their queries
 from mediagrove.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +44,11 @@ def test_query(spark, duck, name):
 
 def test_every_query_has_an_oracle():
     assert set(Q.QUERIES) == set(Q.SQL)
+
+
+@pytest.mark.parametrize("name", sorted(Q.SQL))
+def test_oracle_gives_rows(name):
+    c = duckdb.connect()
+    for f in glob.glob("/root/testdata/sf0.01/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    assert c.execute(Q.SQL[name]).fetchone() is not None
