@@ -27,12 +27,12 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a tenth of a source's documents go; every document stays, ``n_chars`` follows its text.
+    """Lines on more than a tenth of a source's documents go, if they stand on five of them at least; every document stays, ``n_chars`` follows its text.
 
     Each row counts as a document, repeated or not; rows without a source are those of the source ''; a text may become empty.
     """
     tune(spark)
-    out = line_dedup.drop_boilerplate(docs, F.col("source"), F.col("text"))
+    out = line_dedup.drop_boilerplate(docs, F.col("source"), F.col("text"), min_pages=5)
     changed = F.col("n_dropped") > 0
     return out.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
