@@ -8,12 +8,14 @@ spread over ``SALTS`` tasks.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import cut, spread
 
-RATIO, MIN_PAGES, SALTS, FEW = 0.1, 5, 64, 100_000
+RATIO, MIN_PAGES, SALTS, FEW = 0.1, 1, 64, 100_000
 _BLANK = " \t\r"
 
 
@@ -25,11 +27,12 @@ def drop_boilerplate(df: DataFrame, host: Column, text: Column, *, out_col: str
     """All columns of ``df``, with ``out_col`` holding the text without boilerplate lines, and host, n_lines, n_dropped.
 
     Lines are what line feeds separate, compared without blanks around them; blank lines stay and don't count. A line is boilerplate on a host
-    if it stands on ``min_pages`` of its pages or more, and on more than ``ratio`` of them. Each row is a page, repeated or not. A null host is
+    if it stands on more than ``ratio`` of its pages, as a decimal number. ``min_pages``: a caller's further condition, the least number of these pages; by the ratio alone
+    (1) every line of a host of fewer than 1 / ``ratio`` pages is boilerplate. Each row is a page, repeated or not. A null host is
     the host ''. A null text has no lines and stays null; other texts may become ''. Columns of ``df`` named host, n_lines or n_dropped are
     replaced; others may have any name. An empty table gives an empty result.
     """
-    permille = round(ratio * 1000)
+    share = Decimal(str(ratio))  # compared exactly
     tag = "__"
     while any(c.startswith(tag) for c in df.columns):  # names that no column has
         tag += "_"
@@ -39,7 +42,7 @@ def drop_boilerplate(df: DataFrame, host: Column, text: Column, *, out_col: str
     narrow = wide.select(own_host, F.array_distinct(keys).alias("keys"))
     counts = narrow.select(own_host, F.explode("keys").alias("key")).groupBy(own_host, "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     pages = narrow.groupBy(own_host).agg(F.count(F.lit(1)).alias("pages"))
-    bad = counts.join(pages, own_host).where(F.col("n") * 1000 > F.col("pages") * permille)
+    bad = counts.join(pages, own_host).where(F.col("n") > F.col("pages") * F.lit(share))
     bad = cut(bad.groupBy(own_host).agg(F.collect_list("key").alias(bad_lines)))
     if bad.count() <= few and (bad.agg(F.sum(F.size(bad_lines))).first()[0] or 0) <= few:
         joined = wide.join(F.broadcast(bad), own_host, "left")
@@ -74,7 +77,7 @@ l AS (SELECT r, host, generate_subscripts(lines, 1) AS pos, unnest(lines) AS lin
 k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key FROM l),
 c AS (SELECT host, key, count(*) AS n FROM (SELECT DISTINCT r, host, key FROM k WHERE key <> '') GROUP BY host, key),
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
-bad AS (SELECT host, key FROM c JOIN t USING (host) WHERE n >= 5 AND n * 1000 > pages * 100),
+bad AS (SELECT host, key FROM c JOIN t USING (host) WHERE n >= 5 AND n > pages * 0.1),
 o AS (SELECT k.r, count(*) FILTER (WHERE k.key <> '') AS n_lines, count(bad.key) AS n_dropped,
         coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE bad.key IS NULL), '') AS text
       FROM k LEFT JOIN bad ON bad.host = k.host AND bad.key = k.key GROUP BY k.r)

@@ -28,7 +28,7 @@ def op4_telephony_audio(spark, sf_dir):
 
 def op5_line_dedup(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    out = line_dedup.drop_boilerplate(pages, line_dedup.host_of(F.col("url")), line_dedup.page_text(F.col("html")))
+    out = line_dedup.drop_boilerplate(pages, line_dedup.host_of(F.col("url")), line_dedup.page_text(F.col("html")), min_pages=5)
     return out.select("page_id", "host", "n_lines", "n_dropped", "text")
 
 

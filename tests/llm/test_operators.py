@@ -228,8 +228,10 @@ def plain_lines(rows, ratio, least):
 def test_line_dedup(spark, empty, few):
     rows = [("a" if k % 3 else "b", "\n".join([" menu\t", f"line {k}", "foot" if k % 2 else "other", "", "x"])) for k in range(40)] + [(None, None), ("a", ""), ("c", "menu"), (None, "menu"), ("a", "menu\nmenu")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "h string, text string, host string")
-    got = line_dedup.drop_boilerplate(df, F.col("h"), F.col("text"), ratio=0.4, few=few).collect()
+    got = line_dedup.drop_boilerplate(df, F.col("h"), F.col("text"), ratio=0.4, min_pages=5, few=few).collect()
     same([(r.h, r.text) for r in got], list(zip([r[0] for r in rows], plain_lines(rows, 0.4, 5), strict=True)))
+    alone = line_dedup.drop_boilerplate(df, F.col("h"), F.col("text"), ratio=0.0255, few=few).collect()  # the ratio alone, by its decimals
+    same([(r.h, r.text) for r in alone], list(zip([r[0] for r in rows], plain_lines(rows, 0.0255, 1), strict=True)))
     assert line_dedup.drop_boilerplate(empty, F.col("source"), F.col("text")).count() == 0
 
 
@@ -239,7 +241,7 @@ def test_line_dedup_sql_and_clashing_names(spark, few):
 
     pages = [(k % 9, "http://A.b/x" if k % 4 else None, None if k % 8 == 7 else f"<p>menu</p>\n<b>line {k}</b>\n \nfoot{k % 5}", "a", "b") for k in range(60)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, __host string, __kept string")
-    out = line_dedup.drop_boilerplate(df, line_dedup.host_of(F.col("url")), line_dedup.page_text(F.col("html")), few=few)
+    out = line_dedup.drop_boilerplate(df, line_dedup.host_of(F.col("url")), line_dedup.page_text(F.col("html")), min_pages=5, few=few)
     assert {"__host", "__kept"} < set(out.columns) and out.where("__host != 'a' or __kept != 'b'").count() == 0
     con = duckdb.connect()
     con.register("pages", pa.table({"page_id": [p[0] for p in pages], "url": pa.array([p[1] for p in pages], pa.string()), "html": pa.array([p[2] for p in pages], pa.string())}))
