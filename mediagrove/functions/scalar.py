@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,26 @@ def lookup(values: dict[str, str], key: Column) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[key]
 
 
+@functools.cache
+def fold_table() -> tuple[str, str]:
+    """Characters and what simple case folding makes of them, one for one: the characters that single upper, lower or title cases lead to are one, named by its ASCII letter or else its
+    first. The dotted capital and the dotless small i fold to themselves, as outside the Turkic rules."""
+    same: dict[str, set[str]] = {}
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x1F000)]):
+        for d in (c.lower(), c.upper(), c.title()):
+            if len(d) == 1 and d != c and not {c, d} & {"\u0130", "\u0131"}:
+                both = same.get(c, {c}) | same.get(d, {d})
+                same.update(dict.fromkeys(both, both))
+    named = {c: next((x for x in sorted(every) if "a" <= x <= "z"), min(every)) for c, every in same.items()}
+    moved = sorted((c, x) for c, x in named.items() if c != x)
+    return "".join(c for c, _ in moved), "".join(x for _, x in moved)
+
+
+def folded(value: Column) -> Column:
+    """Text under simple case folding: equal for texts that differ in case alone, by any script's rule (ſ is an s, the Kelvin sign a k, ß isn't ss)."""
+    return F.when(value.rlike(r"^[\x00-\x7F]*\z"), F.lower(value)).otherwise(F.translate(value, *fold_table()))
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -232,10 +254,14 @@ def parse_rfc3339(text: Column, fallback: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text), fallback)
 
 
+def plain_id(value: Column) -> Column:
+    """Ids of small letters, digits, dots, dashes and underscores that begin with a letter or digit."""
+    return value.rlike(r"^[a-z0-9][a-z0-9._-]*\z")
+
+
 def safe_id(value: Column) -> Column:
-    """Path-safe ids: letters, digits, dot, dash, underscore; not a device name of old file systems."""
-    shape = value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}\z") & ~value.rlike(r"\.\z")
-    return shape & ~F.lower(F.regexp_replace(value, r"\..*\z", "")).rlike(r"^(con|prn|aux|nul|com[1-9]|lpt[1-9])\z")
+    """Path-safe ids: plain ones that aren't a device name of old file systems, with or without a dot at the end."""
+    return plain_id(value) & ~F.regexp_replace(value, r"\.\z", "").rlike(r"^(con|prn|aux|nul|com[1-9]|lpt[1-9])\z")
 
 
 def safe_relative_path(value: Column) -> Column:

@@ -39,9 +39,9 @@ def systems(entries: DataFrame) -> DataFrame:
 
 
 def profile_documents(entries: DataFrame, folder: str = "profiles") -> DataFrame:
-    """(root, id, path): JSON files of the profile folder that aren't links."""
+    """(root, id, path): JSON files of the profile folder that aren't links; their extension in any case."""
     name = _direct(folder)
-    return entries.where(_is("file") & name.endswith(".json")).select("root", F.regexp_replace(name, r"\.json\z", "").alias("id"), "path")
+    return entries.where(_is("file") & S.folded(name).endswith(".json")).select("root", F.regexp_replace(name, r"\.[^.]*\z", "").alias("id"), "path")
 
 
 def artwork_counts(entries: DataFrame, profiles: DataFrame) -> DataFrame:

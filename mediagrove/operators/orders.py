@@ -15,6 +15,13 @@ ORDERS = {
     "bundle plan": ["profile", "destination_path", "source_path"],
     "files": ["path"],
     "history": ["type", "id"],
+    "observations": ["root_id", "path"],
+    "games": ["platform_name", "title", "game"],
+    "platforms": ["platform_name", "platform"],
+    "candidates": ["name", "id"],
+    "sources": ["name", "id"],
+    "devices": ["id"],
+    "diagnostics": ["source", "status", "message"],
 }
 
 

@@ -171,7 +171,8 @@ def platforms(games: DataFrame) -> DataFrame:
 
 
 def previews(assets: DataFrame, most: int = 4) -> DataFrame:
-    """Up to ``most`` assets a platform that can stand for it, by game, role and id."""
+    """Up to ``most`` assets a platform that can stand for it, by game, role and id. Tasks keep the first ``most`` of their own rows by platform (a group limit below the
+    exchange), so a platform's task sees ``most`` rows a task, not the platform."""
     w = Window.partitionBy("platform").orderBy("game", "role", "observation_id")
     return assets.where(F.col("role").isin(*REPRESENTATIVE)).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("platform", "n", "observation_id")
 

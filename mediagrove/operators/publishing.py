@@ -16,6 +16,39 @@ DOWNLOADS = {
 }
 
 
+# The topology of a host that has none stored: platforms (id, name), devices (id, name, platforms) and profiles (platform, name).
+PLATFORMS = [("steam", "Steam"), ("playnite", "Playnite"), ("retro", "Retro gaming")]
+DEVICES = [("pc", "Gaming PC", ["steam", "playnite"]), ("steam-deck", "Steam Deck", ["steam", "retro"]), ("rog-ally-x", "ROG Ally X", ["steam"])]
+PROFILES = [
+    ("steam", "Standard"), ("steam", "Retro"), ("steam", "Minimalist"), ("steam", "Tasteful"), ("playnite", "Standard"), ("playnite", "Minimalist"),
+    ("retro", "Retro"), ("retro", "Minimalist"), ("retro", "Tasteful"), ("retro", "Canon"),
+]
+
+
+def topologies(stored: DataFrame) -> DataFrame:
+    """(host, found, what, id, name, platforms) of hosts (host, text: the stored document, null where there is none): the document's platforms, devices and profiles, or the built-in ones.
+
+    A profile's id is its key. A document that isn't JSON gives nothing (``documents.invalid`` says so).
+    """
+    kind = "array<struct<what: string, id: string, name: string, platforms: array<string>>>"
+    text = lambda v, f: F.expr(f"try_variant_get({v}, '$.{f}', 'string')")
+    built_in = [("platform", i, n, []) for i, n in PLATFORMS] + [("device", i, n, p) for i, n, p in DEVICES]
+    row = lambda what, i, n, p: F.struct(F.lit(what).alias("what"), i.alias("id"), n.alias("name"), p.alias("platforms"))
+    lits = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    default = F.array(*(row(w, F.lit(i), F.lit(n), lits(p)) for w, i, n, p in built_in), *(row("profile", S.profile_key(F.lit(p), F.lit(n)), F.lit(n), lits([p])) for p, n in PROFILES)).cast(kind)
+    doc = F.try_parse_json("text")
+    items = lambda f: F.coalesce(F.expr(f"try_variant_get(doc, '$.{f}', 'array<variant>')"), F.array().cast("array<variant>"))
+    platforms = F.coalesce(F.expr("try_variant_get(v, '$.platforms', 'array<string>')"), lits([]))
+    rows = stored.select("host", F.col("text").isNotNull().alias("found"), doc.alias("doc"))
+    none = rows.where("not found").select("host", "found", F.inline(default))
+    parts = [rows.where("found").select("host", "found", F.lit(w).alias("what"), F.explode(items(f)).alias("v")) for w, f in (("platform", "platforms"), ("device", "devices"), ("profile", "profiles"))]
+    own = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    platform = text("v", "platform")
+    key = F.when(F.col("what") == "profile", S.profile_key(platform, text("v", "name"))).otherwise(text("v", "id"))
+    listed = F.when(F.col("what") == "device", platforms).when(F.col("what") == "profile", F.array(platform)).otherwise(lits([]))
+    return own.select("host", "found", "what", key.alias("id"), text("v", "name").alias("name"), listed.alias("platforms")).unionByName(none)
+
+
 def default_targets(devices: DataFrame, platforms: DataFrame) -> DataFrame:
     """(id, name, device, platform, adapter): one target a device (id, name, platforms) and platform (id, name), where none are stored."""
     rows = devices.select("id", "name", F.explode("platforms").alias("platform")).join(platforms.select(F.col("id").alias("platform"), F.col("name").alias("shown")), "platform", "left")
@@ -113,6 +146,6 @@ def profile_of_set(sets: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def card_roles(roles: DataFrame, most: int = 6) -> DataFrame:
-    """(key, place, role, n): the roles on a profile's card, those of most games first."""
+    """(key, place, role, n): the roles on a profile's card, those of most games first; tasks keep their own first ``most`` by profile."""
     w = Window.partitionBy("key").orderBy(F.desc("n"), "role")
     return roles.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("key", "place", "role", "n")

@@ -24,7 +24,7 @@ _ROOTS = "SELECT CASE s_suppkey % 7 WHEN 0 THEN 'Root-1' WHEN 1 THEN 'root-1' WH
 
 
 @query(f"""WITH r AS ({_duck(_ROOTS)}), k AS (SELECT lower(id) AS key, count(*) AS n, count(DISTINCT id) AS s FROM r GROUP BY 1 HAVING count(*) > 1)
-SELECT DISTINCT id, 'unsafe id' AS problem FROM r WHERE id IN ('con', 'bad/id') UNION SELECT id, 'unknown kind' FROM r WHERE kind = 'floppy'
+SELECT DISTINCT id, 'unsafe id' AS problem FROM r WHERE id = 'con' OR NOT regexp_matches(id, '^[a-z0-9][a-z0-9._-]*$') UNION SELECT id, 'unknown kind' FROM r WHERE kind = 'floppy'
 UNION SELECT id, CASE WHEN s > 1 THEN 'ids differ only in case' ELSE 'duplicate id' END FROM r JOIN k ON k.key = lower(id)""")
 def t26_roots(spark, sf_dir):
     return checks.invalid_roots(_sql(spark, sf_dir, "supplier", _ROOTS))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import bindings as B
-from ..operators import coverage, inventory, listing, metadata, organizer, parity, policy, profiles
+from ..operators import coverage, inventory, listing, metadata, orders, organizer, parity, policy, profiles
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -113,7 +113,7 @@ def f_numbers(spark, sf_dir):
     return e.select("event_id", S.percent(F.col("p"), F.col("n")).alias("percent"), w.alias("fit_w"), h.alias("fit_h"), S.human_age(F.col("a")).alias("age"), ((F.col("n") - 1) * F.col("w")).alias("excess"))
 
 
-@query(f"{_W} SELECT seq, regexp_matches(root_id, '^[A-Za-z0-9][A-Za-z0-9._-]*$') AS id_ok, path NOT LIKE '/%' AND NOT contains(path, '..') AND path <> '' AS path_ok, length(sha256) = 64 AS sha_ok FROM obs")
+@query(f"{_W} SELECT seq, regexp_matches(root_id, '^[a-z0-9][a-z0-9._-]*$') AS id_ok, path NOT LIKE '/%' AND NOT contains(path, '..') AND path <> '' AS path_ok, length(sha256) = 64 AS sha_ok FROM obs")
 def w_predicates(spark, sf_dir):
     return _obs(spark, sf_dir).select("seq", S.safe_id(F.col("root_id")).alias("id_ok"), S.safe_relative_path(F.col("path")).alias("path_ok"), S.sha256_text(F.col("sha256")).alias("sha_ok"))
 
@@ -406,6 +406,16 @@ def o16_by_missing(spark, sf_dir):
     return organizer.visible_games(c.games, c.assets, by_missing=True).limit(20).select("game", F.size("missing_roles").cast("long").alias("n"))
 
 
+@query(f"{_WC} SELECT DISTINCT platform_name, platform FROM g ORDER BY platform_name, platform LIMIT 4")
+def o5_first_platforms(spark, sf_dir):
+    return orders.in_order(organizer.platforms(_catalog(spark, sf_dir).games), "platforms").limit(4).select("platform_name", "platform")
+
+
+@query(f"{_WC} SELECT platform_name, title, game FROM g ORDER BY platform_name, title, game LIMIT 30")
+def o5_first_games(spark, sf_dir):
+    return orders.in_order(_catalog(spark, sf_dir).games, "games").limit(30).select("platform_name", "title", "game")
+
+
 @query(f"{_WC} SELECT count(*) FILTER (WHERE attention) AS needs_attention, count(*) AS games FROM g")
 def a10_attention(spark, sf_dir):
     return _catalog(spark, sf_dir).games.agg(F.count_if("attention").alias("needs_attention"), F.count(F.lit(1)).alias("games"))

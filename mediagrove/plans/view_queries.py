@@ -135,6 +135,11 @@ def t18_diagnostics(spark, sf_dir):
     return _resolved_files(spark, sf_dir).diagnostics
 
 
+@query(SQL["t18_diagnostics"].replace("SELECT 'steam-manifest' AS source", ", q AS (SELECT 'steam-manifest' AS source", 1) + ") SELECT * FROM q ORDER BY source, status, message LIMIT 6")
+def o10_first_diagnostics(spark, sf_dir):
+    return orders.in_order(_resolved_files(spark, sf_dir).diagnostics, "diagnostics").limit(6)
+
+
 _SAID = "SELECT CASE event_id % 5 WHEN 0 THEN 'steam-manifest' WHEN 1 THEN 'playnite' WHEN 2 THEN concat('esde:', event_type) WHEN 3 THEN 'identity' ELSE concat('romm:', event_type) END AS source, concat('event ', CAST(event_id AS STRING)) AS message FROM events"
 
 

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from mediagrove.plans import more_queries, stream_queries, table_queries, view_queries  # noqa: F401  register their queries
+from mediagrove.plans import document_queries, more_queries, stream_queries, table_queries, view_queries  # noqa: F401  register their queries
 from mediagrove.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
