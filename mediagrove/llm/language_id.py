@@ -4,11 +4,12 @@ Each language has a tree of byte contexts of up to ``order`` bytes. In a context
 seen byte of count c costs log2((n + d) / c) bits and the escape to the next shorter context log2((n + d) / d) (method C,
 without exclusion); below the empty context each byte costs 8 bits. A context that a language has not seen costs
 nothing to leave. The statistics are frozen after training, so every context's costs for every next byte are worked out
-once: a row of a table. Scoring looks up, for each position, the row of the longest context that any language has
-seen, and adds one entry a language. The language of the shortest code wins.
+once: a row of a table. Scoring looks up, for each position and language, the row of the longest context that the language has
+seen, and adds one entry of it. The language of the shortest code wins.
 
 The trees are learned from whole texts of a bounded sample: ``per_lang`` training documents a language, those of the
-smallest hash of doc_id, and of these as many as ``per_bytes`` allow. The table is bounded by that sample and is what tasks receive.
+smallest hash of doc_id, and of these as many as ``per_bytes`` allow. A language's tree holds its own bytes and contexts only, so trees grow with the number of languages, not
+with its square; they are measured as they are made, and an error beyond ``most_bytes``: that is what tasks receive.
 """
 
 from __future__ import annotations
@@ -21,47 +22,43 @@ from pyspark.sql import functions as F
 from .base import SLICE_BYTES, spread
 from .kernel import flat, slices
 
-ORDER, PER_LANG, PER_BYTES, CELLS, SPARE = 3, 400, 4 << 20, 1 << 24, 8
+ORDER, PER_LANG, PER_BYTES, CELLS, SPARE, MOST_BYTES = 3, 400, 4 << 20, 1 << 24, 8, 512 << 20
 UNKNOWN = "und"
 _ASCII = np.zeros(256, bool)
 _ASCII[65:91] = _ASCII[97:123] = True
 
 
-class Trees:
-    """Frozen statistics of all languages. ``rows``: context -> row; ``bits``: (language, row, byte code)."""
+class Tree:
+    """Frozen statistics of one language, over its own bytes. ``rows``: context -> row, that of the longest suffix which the language has seen; ``bits``: (row, byte code) -> cost."""
 
-    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
-        self.langs = sorted(texts)
+    def __init__(self, texts: list[bytes], order: int):
         seen = np.zeros(256, bool)
-        for t in (t for own in texts.values() for t in own):
+        for t in texts:
             seen[np.frombuffer(t, np.uint8)] = True
-        self.code = np.zeros(256, np.int64)  # 0: never seen in training, and what stands before a text
+        self.code = np.zeros(256, np.int64)  # 0: never seen in this language, and what stands before a text
         self.code[seen] = np.arange(1, seen.sum() + 1)
         size = self.size = int(seen.sum()) + 1
         if size**order > CELLS:
             raise ValueError(f"contexts of {order} of {size} byte values need more than {CELLS} places")
         self.order = order
-        count = [self._counts(texts[x], size, order) for x in self.langs]
-        rows = np.zeros((1, len(self.langs), size))
-        for x, own in enumerate(count):
-            rows[0, x] = self._costs(own[0].reshape(1, size), np.full((1, size), 8.0))[0]
+        count = self._counts(texts, size, order)
         self.rows = np.zeros(1, np.int32)
-        tables, offset = [rows], 1
+        tables, offset = [self._costs(count[0].reshape(1, size), np.full((1, size), 8.0))], 1
         for k in range(1, order + 1):
-            grams = np.unique(np.concatenate([np.zeros(0, np.int64), *(own[k][0] // size for own in count)]))
+            grams = np.unique(count[k][0] // size)
             place = np.full(size**k, -1, np.int32)
             place[grams] = np.arange(len(grams))
-            parent = self.rows[grams % size ** (k - 1)]
-            above = np.concatenate(tables)[parent]
-            own_rows = np.empty_like(above)
-            for x, own in enumerate(count):
-                c = np.zeros((len(grams), size))
-                c[place[own[k][0] // size], own[k][0] % size] = own[k][1]
-                own_rows[:, x] = self._costs(c, above[:, x])
+            above = np.concatenate(tables)[self.rows[grams % size ** (k - 1)]]
+            c = np.zeros((len(grams), size))
+            c[place[count[k][0] // size], count[k][0] % size] = count[k][1]
             self.rows = np.where(place >= 0, place + offset, self.rows[np.arange(size**k) % size ** (k - 1)]).astype(np.int32)
-            tables.append(own_rows)
+            tables.append(self._costs(c, above))
             offset += len(grams)
-        self.bits = np.ascontiguousarray(np.concatenate(tables).transpose(1, 0, 2), np.float32)
+        self.bits = np.concatenate(tables).astype(np.float32)
+
+    @property
+    def nbytes(self) -> int:
+        return self.rows.nbytes + self.bits.nbytes
 
     def _counts(self, texts: list[bytes], size: int, order: int):
         """Order 0: counts by byte code; order k: (context * size + byte, count)."""
@@ -84,23 +81,39 @@ class Trees:
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(n == 0, above, np.where(c > 0, np.log2((n + d) / c), np.log2((n + d) / d) + above))
 
-    def lengths(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Code lengths in bits: a row a document, a column a language."""
-        codes, first, full = self.code[data], ends[:-1], np.flatnonzero(np.diff(ends))
-        out = np.zeros((len(ends) - 1, len(self.langs)))
-        if not len(codes):
-            return out
+    def costs(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Bits of each byte; texts begin at ``starts`` and end at ``stops``."""
+        codes = self.code[data]
         context = np.zeros(len(codes), np.int64)
         for k in range(self.order, 0, -1):
             before = np.zeros(len(codes), np.int64)
             before[k:] = codes[:-k]
             for j in range(k):  # positions whose k-th byte before lies in another document
-                at = first[full] + j
-                before[at[at < ends[1:][full]]] = 0
+                at = starts + j
+                before[at[at < stops]] = 0
             context = context * self.size + before
-        cell = self.rows[context].astype(np.int64) * self.size + codes
-        for x in range(len(self.langs)):
-            out[full, x] = np.add.reduceat(self.bits[x].ravel()[cell], first[full], dtype=np.float64)
+        return self.bits.ravel()[self.rows[context].astype(np.int64) * self.size + codes]
+
+
+class Trees:
+    """The trees of all languages; no larger than ``most_bytes`` together, as every worker gets them."""
+
+    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER, most_bytes: int = MOST_BYTES):
+        self.langs, self.order, self.trees, self.nbytes = sorted(texts), order, [], 0
+        for x in self.langs:
+            self.trees.append(Tree(texts[x], order))
+            self.nbytes += self.trees[-1].nbytes
+            if self.nbytes > most_bytes:
+                raise ValueError(f"the trees of {len(self.trees)} of {len(self.langs)} languages take {self.nbytes} bytes, and {most_bytes} are allowed; learn from fewer bytes a language, or by a lower order")
+
+    def lengths(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Code lengths in bits: a row a document, a column a language."""
+        full = np.flatnonzero(np.diff(ends))
+        out = np.zeros((len(ends) - 1, len(self.langs)))
+        if len(full):
+            starts, stops = ends[:-1][full], ends[1:][full]
+            for x, tree in enumerate(self.trees):
+                out[full, x] = np.add.reduceat(tree.costs(data, starts, stops), starts, dtype=np.float64)
         return out
 
     def predict(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +132,7 @@ class Trees:
         return np.where(letter, best, -1), np.where(letter, share, 0.0)
 
 
-def learn(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, per_bytes: int = PER_BYTES, order: int = ORDER) -> Trees:
+def learn(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, per_bytes: int = PER_BYTES, order: int = ORDER, most_bytes: int = MOST_BYTES) -> Trees:
     """Trees of the training rows' languages, from ``per_lang`` whole texts a language at most.
 
     Rows without an id, a text or a language teach nothing. The texts are those of the least hashes of the id (ties: of the id, then of the
@@ -143,7 +156,7 @@ def learn(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
     texts: dict[str, list[bytes]] = {}
     for r in sorted(chosen):
         texts.setdefault(r.l, []).extend([r.t.encode()] * r.times)
-    return Trees(texts, order)
+    return Trees(texts, order, most_bytes)
 
 
 def identify(df: DataFrame, trees: Trees, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +166,7 @@ def identify(df: DataFrame, trees: Trees, *, id_col: str = "doc_id", text_col: s
     gives one row; other columns aren't read.
     """
     rows = spread(df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text")))
-    sent = df.sparkSession.sparkContext.broadcast(trees)  # bounded by the training sample
+    sent = df.sparkSession.sparkContext.broadcast(trees)  # of a size checked as they were made
 
     def run(batches):
         own = sent.value

@@ -346,6 +346,21 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(empty, trees).count() == 0
 
 
+def test_languages_of_many_scripts():
+    """Trees of 40 languages, each in letters of its own, take what they take one by one, and no more than is allowed."""
+    rng = np.random.default_rng(3)
+    letters = {f"l{k:02}": [chr(0x4E00 + 300 * k + j) for j in range(30)] + [" "] for k in range(40)}
+    text = lambda x, n: "".join(np.array(letters[x])[rng.integers(0, 31, n)])
+    texts = {x: [text(x, 3000).encode()] for x in letters}
+    few, many = language_id.Trees({x: texts[x] for x in list(texts)[:4]}), language_id.Trees(texts)
+    assert many.nbytes < 12 * few.nbytes and many.nbytes == sum(language_id.Trees({x: t}).nbytes for x, t in texts.items())
+    samples = [text(x, 60).encode() for x in letters]
+    best, share = many.predict(np.frombuffer(b"".join(samples), np.uint8), np.cumsum([0, *map(len, samples)]))
+    assert [many.langs[k] for k in best] == sorted(letters) and (share > 0.99).all()
+    with pytest.raises(ValueError, match="languages take"):
+        language_id.Trees(texts, most_bytes=few.nbytes)
+
+
 @pytest.mark.parametrize("spare", [8, 2])
 def test_language_sample_and_score(spark, spare, monkeypatch):
     monkeypatch.setattr(language_id, "SPARE", spare)
@@ -360,7 +375,7 @@ def test_language_sample_and_score(spark, spare, monkeypatch):
         want[x] = [u[4].encode() for u, total in zip(usable, sums, strict=True) if total <= 150]
     assert 0 < len(want["en"]) < 20  # the bound on bytes is met
     got, plain = language_id.learn(df, F.lit(True), per_lang=20, per_bytes=150), language_id.Trees({x: t for x, t in want.items() if t})
-    assert got.langs == plain.langs and (got.bits == plain.bits).all() and (got.rows == plain.rows).all()
+    assert got.langs == plain.langs and all((a.bits == b.bits).all() and (a.rows == b.rows).all() for a, b in zip(got.trees, plain.trees, strict=True))
     texts = {x: sorted(t) for x, t in want.items()}
     same_id = spark.createDataFrame([(7, f"text {k}", "en") for k in range(50)], "doc_id long, text string, lang string")
     assert language_id.learn(same_id, F.lit(True), per_lang=2).langs == ["en"]
