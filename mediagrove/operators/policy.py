@@ -32,9 +32,11 @@ def resolve(obs: DataFrame, rules: DataFrame, default: str) -> DataFrame:
         mode = F.lit(default) if mode is None else mode.otherwise(default)
         index = F.lit(-1) if index is None else index.otherwise(-1)
         return obs.withColumns({"mode": mode, "matched_rule": index.cast("int")})
+    # sets of selectors that rules use, most specific first: at most sixteen
+    asked = sum((F.when(F.col(own) != "", w).otherwise(0) for own, _, w in SELECTORS), F.lit(0))
     best = []
     out = obs
-    for mask in range(15, -1, -1):
+    for mask in sorted((r["m"] for r in rules.select(asked.alias("m")).distinct().collect()), reverse=True):
         used = [(own, theirs) for own, theirs, w in SELECTORS if mask & w]
         shape = F.lit(True)
         for own, _, w in SELECTORS:
@@ -75,11 +77,3 @@ def import_plan(resolved: DataFrame) -> DataFrame:
         .when(mode == "promote-on-approval", "asset promotion requires separate explicit approval").when(mode == "quarantined", "policy requires quarantine").alias("reason"),
         "identity_hint", "role", "system", unsafe.alias("unsafe"),
     )
-
-
-def invalid_rules(rules: DataFrame) -> DataFrame:
-    """Rules that can't be used: unknown modes and repeated selectors."""
-    bad = rules.where(~F.col("mode").isin(*MODES)).select("rule", F.lit("invalid mode").alias("problem"))
-    first = rules.groupBy("source", "system", "role", "sha256").agg(F.min("rule").alias("first"))
-    again = rules.join(first, ["source", "system", "role", "sha256"]).where("rule != first").select("rule", F.lit("duplicate policy selector").alias("problem"))
-    return bad.unionByName(again)
