@@ -13,9 +13,13 @@ def analyze(actions: DataFrame, roots: DataFrame, present: DataFrame) -> DataFra
 
     ``roots``: (root); ``present``: (root, path, sha256, size, type: file, link or other) of the destinations.
     """
-    known = roots.select(F.col("root").alias("destination_root"), F.lit(True).alias("known"))
+    # roots are a configuration, a row each: shuffled by root, all actions of a root would meet in one task
+    known = F.broadcast(roots.select(F.col("root").alias("destination_root"), F.lit(True).alias("known")))
     there = present.select(F.col("root").alias("destination_root"), F.col("path").alias("destination_path"), F.col("sha256").alias("now_sha256"), F.col("size").alias("now_size"), F.col("type").alias("now_type"))
-    out = actions.join(known, "destination_root", "left").join(there, ["destination_root", "destination_path"], "left")
+    rows = actions.join(known, "destination_root", "left")
+    # nothing is there without a path: these actions have one key a root, and stay out of the join
+    out = rows.where("destination_path != ''").join(there, ["destination_root", "destination_path"], "left")
+    out = out.unionByName(rows.where("destination_path is null or destination_path = ''"), allowMissingColumns=True)
     exists, same = F.col("now_type").isNotNull(), (F.col("now_type") == "file") & (F.col("source_sha256") != "") & (F.col("now_sha256") == F.col("source_sha256"))
     effect = (
         F.when(F.col("destination_path") == "", "no-filesystem-change").when(F.col("known").isNull(), "root-unavailable")
