@@ -60,3 +60,7 @@ def test_effects(spark):
 
 def test_plan_of_t15_analysis(static):
     assert not by_root_alone(Q.QUERIES["t15_analysis"](static, SF))
+
+
+def test_plan_of_a18_totals(static):
+    assert not by_root_alone(Q.QUERIES["a18_totals"](static, SF))
